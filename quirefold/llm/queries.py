@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import minhash
+from quirefold.llm import crosspolytope, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op10_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_minhash,)}
+    return {f.__name__: f for f in (op8_minhash, op10_crosspolytope)}
 
 
 def oracle_sql() -> dict[str, str]:
