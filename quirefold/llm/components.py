@@ -52,6 +52,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", r
         after = _mark(current)
         scratch.drop(f"{name}-{k}-large", f"{name}-{k}-stars", f"{name}-{k}-small", f"{name}-{old}")
         if after == before:
-            return current.selectExpr("a as node", "b as component")
+            stars = current.selectExpr("a as node", "b as component")
+            return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
         before = after
     raise RuntimeError(f"components have not settled after {rounds} rounds")

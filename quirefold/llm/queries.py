@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.llm import crosspolytope, minhash
+from quirefold.llm import crosspolytope, minhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -22,8 +26,8 @@ def op10_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_minhash, op10_crosspolytope)}
+    return {f.__name__: f for f in (op7_url_filter, op8_minhash, op10_crosspolytope)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": urls.ORACLE}
