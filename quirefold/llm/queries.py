@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quirefold.llm import crosspolytope, minhash, urls
+from quirefold.llm import crosspolytope, language, minhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(modulus: int, rest: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = _held_out(5, 0)
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -26,7 +37,7 @@ def op10_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_url_filter, op8_minhash, op10_crosspolytope)}
+    return {f.__name__: f for f in (op3_language_id, op7_url_filter, op8_minhash, op10_crosspolytope)}
 
 
 def oracle_sql() -> dict[str, str]:
