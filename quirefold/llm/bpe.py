@@ -4,7 +4,8 @@ A token sequence is the merge result of its bytes exactly when each neighbouring
 result of its own bytes (Berglund & van der Merwe, "Formalizing BPE tokenization").  So one machine
 reads the bytes of a piece: a hypothesis is the last finished token, the trie node of the token under
 way and the tokens not emitted yet.  A set of hypotheses is a state of the determinised machine,
-made when it is first reached.  Each byte finishes exactly one hypothesis; tokens that all living
+made when it is first reached; where a trie node can only become a few tokens, the hypothesis keeps
+those that may follow in place of its last token, so that many histories share a state.  Each byte finishes exactly one hypothesis; tokens that all living
 hypotheses share are emitted.  As tokens have a greatest length, the lookahead is bounded.
 
 States and whole-piece results are kept up to a fixed number and then forgotten, which changes the
@@ -67,7 +68,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 #: Up to so many tokens below a trie node are tried at once.
-FEW = 6
+FEW = 20
 
 
 class Transducer:
@@ -79,16 +80,13 @@ class Transducer:
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int, int]] | None] = {}
         self.next: dict[int, int] = {}
         self.ends: list[int] = [-1]
-        self.inner: list[bool] = [False]
         for t, r in ranks.items():
             node = 0
             for b in t:
                 key = node << 8 | b
                 if key not in self.next:
                     self.next[key] = len(self.ends)
-                    self.inner[node] = True
                     self.ends.append(-1)
-                    self.inner.append(False)
                 node = self.next[key]
             self.ends[node] = r
         # Tokens that a node can still become, where they are few; a hypothesis is dropped early if none of them can follow.
@@ -151,25 +149,34 @@ class Transducer:
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Makes the move of a state on a byte: the next state and the tokens emitted."""
         alive, done = [], None
-        for before, node, pending in self.items[state]:
+        for context, node, pending in self.items[state]:
             node = self.next.get(node << 8 | byte)
             if node is None:
                 continue
-            token = self.ends[node]
-            if done is None and token >= 0 and self.fits(before, token):
-                done = (token, 0, (*pending, token))
-            if self.inner[node]:
-                few = self.below[node]
-                if few is None or any(self.fits(before, t) for t in few):
-                    alive.append((before, node, pending))
+            token, few = self.ends[node], self.below[node]
+            if type(context) is tuple:
+                if done is None and token >= 0 and token in context:
+                    done = (token, 0, (*pending, token))
+                context = tuple([t for t in few if t in context])
+            else:
+                if done is None and token >= 0 and self.fits(context, token):
+                    done = (token, 0, (*pending, token))
+                if few is not None:
+                    context = tuple([t for t in few if self.fits(context, t)])
+            if context != ():
+                alive.append((context, node, pending))
         if done is None:
             raise ValueError("the ranks do not hold every single byte")
         alive.append(done)
         shared = 0
-        while all(len(x[2]) > shared and x[2][shared] == done[2][shared] for x in alive):
-            shared += 1
+        if len(alive) == 1:
+            shared = len(done[2])
+        else:
+            least = min([len(x[2]) for x in alive])
+            while shared < least and len({x[2][shared] for x in alive}) == 1:
+                shared += 1
         emitted = done[2][:shared]
-        new = tuple((before, node, pending[shared:]) for before, node, pending in alive)
+        new = tuple([(context, node, pending[shared:]) for context, node, pending in alive]) if shared else tuple(alive)
         number = self.states.get(new)
         if number is None:
             number = self.states[new] = len(self.items)
