@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quirefold.llm import bpe, crosspolytope, language, minhash, urls
+from quirefold.llm import bpe, crosspolytope, language, licenses, minhash, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = _held_out(3, 1)
+    return quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), quality.fit(docs, labels.where(~held_out)))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("places")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -42,7 +52,7 @@ def op10_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op6_bpe, op7_url_filter, op8_minhash, op10_crosspolytope)}
+    return {f.__name__: f for f in (op3_language_id, op4_quality, op5_licenses, op6_bpe, op7_url_filter, op8_minhash, op10_crosspolytope)}
 
 
 def oracle_sql() -> dict[str, str]:
