@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quirefold.llm import bpe, crosspolytope, language, licenses, minhash, quality, urls
+from quirefold.llm import bpe, crosspolytope, language, licenses, minhash, quality, secrets, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +47,16 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_quality, op5_licenses, op6_bpe, op7_url_filter, op8_minhash, op10_crosspolytope)}
+    return {f.__name__: f for f in (op3_language_id, op4_quality, op5_licenses, op6_bpe, op7_url_filter, op8_minhash, op9_secrets, op10_crosspolytope)}
 
 
 def oracle_sql() -> dict[str, str]:
