@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quirefold.llm import bpe, crosspolytope, language, licenses, minhash, quality, secrets, urls
+from quirefold.llm import bpe, crosspolytope, decontaminate, language, licenses, minhash, quality, secrets, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _held_out(modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = _held_out(5, 0)
@@ -56,7 +60,7 @@ def op10_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_quality, op5_licenses, op6_bpe, op7_url_filter, op8_minhash, op9_secrets, op10_crosspolytope)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_language_id, op4_quality, op5_licenses, op6_bpe, op7_url_filter, op8_minhash, op9_secrets, op10_crosspolytope)}
 
 
 def oracle_sql() -> dict[str, str]:
