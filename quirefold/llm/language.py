@@ -201,7 +201,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int =
     return train(windows, labels, names) if len(windows) else None
 
 
-def _predicting(shared):
+def _predicting(shared, keep_text: bool):
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +221,15 @@ def _predicting(shared):
                         k = int(p[i].argmax())
                         names.append(model.languages[k])
                         scores.append(float(min(1.0, p[i][k])))
-            columns = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "text"]
-            fields = [f for f in batch.schema if f.name != "text"]
+            columns = [batch.column(i) for i, f in enumerate(batch.schema) if keep_text or f.name != "text"]
+            fields = [f for f in batch.schema if keep_text or f.name != "text"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=pa.schema([*fields, *schema]))
 
     return run
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs(text, ...)`` -> its other columns with ``lang_pred`` and ``score`` (the mean position probability)."""
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+def predict(docs: DataFrame, model: Model | None, keep_text: bool = False) -> DataFrame:
+    """``docs(text, ...)`` -> its other columns (``text`` too if asked for) with ``lang_pred`` and ``score`` (the mean position probability)."""
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predicting(shared), f"{rest}{', ' * bool(rest)}lang_pred string, score double")
+    return docs.mapInArrow(_predicting(shared, keep_text), f"{rest}{', ' * bool(rest)}lang_pred string, score double")

@@ -11,9 +11,8 @@ Plan:
 2. rows of equal digest collapse (map-side minimum) to a representative, so groups of copies vanish;
 3. each bucket (equal band key) is linked as a star around its smallest member, never as all pairs;
    candidate links are verified on full sets, which are built only for rows in candidates;
-4. buckets whose members fall into several components after that are looked at again: strays meet a
-   few further members first and finally every member of another component, so that no verifiable
-   link between components of a bucket is left out, whatever the bucket's size;
+4. all members of buckets that hold several components after that meet in an exact prefix-filter join,
+   which finds every link between different components, whatever the bucket's size;
 5. components of all verified links, joined back to the rows.
 
 Defined cases: null or word-less texts have an empty set and link with nothing; rows that repeat a
@@ -27,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quirefold.llm.components import connected_components
 from quirefold.llm.scratch import Scratch
@@ -124,16 +123,21 @@ class _Links:
     def __init__(self, docs: DataFrame, scratch: Scratch, k: int, percent: int):
         self.docs, self.scratch, self.k, self.percent, self.round = docs, scratch, k, percent, 0
 
-    def verified(self, pairs: DataFrame) -> DataFrame | None:
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """``ids(doc_id)`` -> a written table of their shingle sets."""
+        texts = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+        return self.scratch.save(texts.mapInArrow(_setting(self.k), "doc_id long, shingles array<long>"), name)
+
+    def verified(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame | None:
         """``pairs(a, b)`` distinct -> those with 100 * intersection >= percent * union; None if there are no pairs."""
         self.round += 1
         name = f"{self.round}"
         pairs = self.scratch.save(pairs, f"pairs-{name}")
         if pairs.isEmpty():
             return None
-        wanted = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"wanted-{name}")
-        texts = self.docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-        sets = self.scratch.save(texts.mapInArrow(_setting(self.k), "doc_id long, shingles array<long>"), f"sets-{name}")
+        if sets is None:
+            wanted = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"wanted-{name}")
+            sets = self.sets(wanted, f"sets-{name}")
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
@@ -145,6 +149,30 @@ class _Links:
         self.scratch.drop(f"pairs-{name}", f"wanted-{name}", f"sets-{name}")
         return links
 
+    def between(self, pool: DataFrame) -> DataFrame | None:
+        """All links between rows of ``pool(rep, n, component)`` of different components, by prefix and position filters.
+
+        Shingles stand in order of their frequency in the pool, the rarest first.  Two sets that link share
+        one among the first few of each, early enough in both for the needed overlap to follow; texts with
+        too many shingles of their own share none and are never paired, however large their bucket is.
+        """
+        p = self.percent
+        sets = self.sets(pool.select(F.col("rep").alias("doc_id")), "pool-sets")
+        tokens = sets.select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("token"))
+        often = self.scratch.save(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+        order = Window.partitionBy("rep").orderBy(F.coalesce("often", F.lit(1)), "token")
+        placed = tokens.join(often, "token", "left").withColumn("at", F.row_number().over(order)).where("often > 1").join(pool, "rep")
+        placed = placed.where(f"at <= n - ({p} * n + 99) div 100 + 1").select("rep", "n", "component", "token", "at")
+        placed = self.scratch.save(placed, "prefixes")
+        short = placed.where(f"at <= n - (2 * {p} * n + {99 + p}) div {100 + p} + 1").select(*(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "at")), "token")
+        long = placed.select(*(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "at")), "token")
+        pairs = short.join(long, "token").where(
+            f"component_a <> component_b and (n_a < n_b or n_a = n_b and rep_a < rep_b) and 100 * n_a >= {p} * n_b"
+            f" and 1 + least(n_a - at_a, n_b - at_b) >= ({p} * (n_a + n_b) + {99 + p}) div {100 + p}")
+        links = self.verified(pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), sets)
+        self.scratch.drop("pool-sets", "often", "prefixes")
+        return links
+
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``docs``.
@@ -168,38 +196,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     fits = f"100 * least(n, {{0}}) >= {percent} * greatest(n, {{0}})"
     links = _Links(docs, scratch, shingle, percent)
     stars = members.join(pivots, "key").where(f"rep <> pivot and {fits.format('pivot_n')}").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    found = [x for x in [links.verified(stars)] if x is not None]
     copies = linked.select("doc_id", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep").where("doc_id <> rep")
     copies = scratch.save(copies.distinct(), "copies")
 
-    def settle(name: str) -> DataFrame:
-        edges = copies.selectExpr("rep as a", "doc_id as b") if name == "all" else None
-        for x in found:
-            edges = x if edges is None else edges.unionByName(x)
-        return connected_components(edges, scratch, f"cc-{name}")
-
-    for step in ("some", "rest") if found else ():
-        parts = settle(step)
+    stars = links.verified(stars)
+    edges = copies.selectExpr("rep as a", "doc_id as b")
+    if stars is not None:
+        parts = connected_components(stars, scratch, "cc-stars")
+        edges = edges.unionByName(parts.selectExpr("component as a", "node as b"))
         placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        placed = scratch.save(placed, f"placed-{step}")
-        first = placed.groupBy("key").agg(
-            F.min_by("component", "rep").alias("main"), F.max("component").alias("high"), F.min("component").alias("low"),
-            *(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(6)),
-        ).where("low < high")
-        first = scratch.save(first, f"mixed-{step}")
-        strays = placed.join(first.select("key", "main", *(f"p{i}" for i in range(6))), "key").where("component <> main")
-        if step == "some":
-            pairs = strays.select("rep", "n", "component", F.explode(F.array(*(f"p{i}" for i in range(6)))).alias("p")).select(
-                "rep", "n", "component", F.col("p.rep").alias("other"), F.col("p.n").alias("other_n"), F.col("p.component").alias("other_component"))
-        else:
-            others = placed.select("key", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-            pairs = strays.join(others, "key").where("other_component = main or rep < other")
-        pairs = pairs.where(f"component <> other_component and {fits.format('other_n')}")
-        more = links.verified(pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
-        if more is not None:
-            found.append(more)
-        scratch.drop(f"placed-{step}", f"mixed-{step}")
-    parts = settle("all")
+        placed = scratch.save(placed, "placed")
+        mixed = scratch.save(placed.groupBy("key").agg(F.max("component").alias("high"), F.min("component").alias("low")).where("low < high").select("key"), "mixed")
+        pool = scratch.save(placed.join(mixed, "key", "left_semi").select("rep", "n", "component").distinct(), "pool")
+        more = links.between(pool)
+        edges = edges if more is None else edges.unionByName(more)
+        scratch.drop("placed", "mixed", "pool")
+    parts = connected_components(edges, scratch, "cc-all")
     scratch.drop("members", "pivots", "reps")
     ids = signed.select("doc_id", F.col("n").alias("n_shingles"))
     out = ids.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
