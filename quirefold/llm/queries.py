@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quirefold.llm import bpe, crosspolytope, decontaminate, language, licenses, minhash, quality, secrets, urls
+from quirefold.llm import bpe, crosspolytope, decontaminate, language, licenses, minhash, quality, secrets, tokenfiles, urls
+from quirefold.llm.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,11 @@ def _held_out(modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = tokenfiles.write(_table(spark, sf_dir, "documents"), Scratch(spark, "token-files"), "segments", public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfiles.digests(segments)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -60,7 +66,7 @@ def op10_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_language_id, op4_quality, op5_licenses, op6_bpe, op7_url_filter, op8_minhash, op9_secrets, op10_crosspolytope)}
+    return {f.__name__: f for f in (op1_token_files, op2_decontaminate, op3_language_id, op4_quality, op5_licenses, op6_bpe, op7_url_filter, op8_minhash, op9_secrets, op10_crosspolytope)}
 
 
 def oracle_sql() -> dict[str, str]:
