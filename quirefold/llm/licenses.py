@@ -63,12 +63,12 @@ TEMPLATES = (
 COVERAGE = 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The one character outside ASCII whose lower case is an ASCII letter.
-_KELVIN = "K"
+_KELVIN = "\u212a"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text; null gives none. Lower-casing beyond A-Z changes no ASCII word, but for the Kelvin sign."""
-    lowered = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(_KELVIN), F.lit("à")))
+    lowered = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(_KELVIN), F.lit("\u00e0")))
     return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 

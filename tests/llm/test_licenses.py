@@ -4,7 +4,7 @@ import re
 from quirefold.llm import licenses as lic
 
 SCHEMA = "doc_id long, text string, labels string, score string, words int"
-LINES = ["Licensed under CC BY-NC 4.0.", "All rights reserved.", "Released under the MIT License.", "under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "general public", "CC", "by", "ÉCC by", "cc\nBY", "all rights", "reserved", "license mit", "LiKense", "apache license version 2 1", "Licensed under cc by 4 0 nc"]
+LINES = ["Licensed under CC BY-NC 4.0.", "All rights reserved.", "Released under the MIT License.", "under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "general public", "CC", "by", "ÉCC by", "cc\nBY", "all rights", "reserved", "license mit", "LiKense", "PAC\u212aAGE \u212a BY", "cc \u0130by", "apache license version 2 1", "Licensed under cc by 4 0 nc"]
 
 
 def brute(rows):
