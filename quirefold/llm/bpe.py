@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -201,31 +201,31 @@ class Transducer:
         return tuple(out)
 
 
+class Pieces(dict):
+    """Results of pieces by their text; a missing one is made, and all are forgotten when there are too many."""
+
+    def __init__(self, make: Callable[[str], object], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, piece: str):
+        found = self.make(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Whole texts to ids, with the results of up to ``most_pieces`` pieces kept."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 250_000):
         self.split, self.machine = Splitter(pattern), Transducer(ranks)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.most = most_pieces
+        self.known = Pieces(lambda piece: self.machine.encode(piece.encode("utf-8")), most_pieces)
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            if len(self.known) > self.most:
-                self.known.clear()
-            known, encode = self.known, self.machine.encode
-            for i, x in enumerate(found):
-                if x is None:
-                    p = pieces[i]
-                    x = known.get(p)
-                    if x is None:
-                        x = encode(p.encode("utf-8"))
-                        if len(p) <= 64:
-                            known[p] = x
-                    found[i] = x
-        return list(chain.from_iterable(found))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.split(text))))
 
 
 #: How many bytes a character has by its first byte's state; 0: no first byte.
@@ -335,12 +335,21 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return coded.mapInArrow(run, ", ".join([*kept, "text string"]))
 
 
+class _Decimal(dict):
+    def __missing__(self, number: int) -> str:
+        text = self[number] = str(number)
+        return text
+
+
+_DECIMAL = _Decimal()  # as many entries as the vocabulary has ids
+
+
 def _digests(encoder: Encoder, tokens: list[bytes], text: str) -> tuple[int, str, str]:
     ids = encoder.encode(text)
     decoded = hashlib.sha256()
     for part in stream_decode(ids, tokens):
         decoded.update(part.encode("utf-8"))
-    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()
+    return len(ids), hashlib.sha256(" ".join(map(_DECIMAL.__getitem__, ids)).encode()).hexdigest(), decoded.hexdigest()
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
