@@ -24,7 +24,7 @@ def rolling_rate(events: DataFrame, key: str, ts: str, amount: str, window: str,
     return out.withColumn("per_second", F.when((F.col("in_window") < 2) | (took <= 0), 0.0).otherwise((F.col("__b.v") - F.col("__a.v")) / took)).drop("__s", "__a", "__b")
 
 
-def _throttle(key: str, gap: float):
+def _throttle(key: str, gap: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {}
         current = object()
@@ -44,8 +44,8 @@ def _throttle(key: str, gap: float):
 
 def throttled(events: DataFrame, key: str, ts: str, order: str, gap_seconds: float) -> DataFrame:
     """The events at least ``gap_seconds`` after the last one let through, per ``key``; state is one time, whatever a key's length."""
-    timed = events.withColumn("__s", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).repartition(key).sortWithinPartitions(key, ts, order)
-    return timed.mapInPandas(_throttle(key, gap_seconds), events.schema)
+    timed = events.withColumn("__s", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(key).sortWithinPartitions(key, ts, order)
+    return timed.mapInPandas(_throttle(key, round(gap_seconds * 1_000_000)), events.schema)
 
 
 def cumulative(events: DataFrame, key: str, order: list[str], amount: str) -> DataFrame:

@@ -28,7 +28,7 @@ def new_paths(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, text)`` of the ``.txt`` files directly in a folder."""
-    whole = spark.read.option("wholetext", "true").text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    whole = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return whole.where(F.lower("path").endswith(".txt"))
 
 
@@ -111,12 +111,12 @@ def write_documents(docs: DataFrame, folder: str) -> None:
     """Texts of ``docs(filename, text)`` as one file for each name, through Spark's own writer: ``folder/filename=.../part``.
 
     Any file system that Spark reaches will do, and a lost task is written again; nothing in the folder is deleted
-    but the documents written now.
+    but the documents written now.  Every file ends with a line's end, which is added where it is missing.
     """
     session = docs.sparkSession
     before = session.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
     session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        docs.select("filename", F.col("text").alias("value")).repartition("filename").write.mode("overwrite").option("lineSep", "").partitionBy("filename").text(folder)
+        docs.select("filename", F.regexp_replace("text", r"\n\z", "").alias("value")).repartition("filename").write.mode("overwrite").partitionBy("filename").text(folder)
     finally:
         session.conf.set("spark.sql.sources.partitionOverwriteMode", before)

@@ -29,14 +29,14 @@ def throttled(events: DataFrame, key: str, ts: str, order: str, gap_seconds: flo
 
     Events of a micro-batch are put in order; one that is older than the last let through is dropped.
     """
-    names = events.columns
+    names, gap = events.columns, round(gap_seconds * 1_000_000)
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         batch = pd.concat(list(frames), ignore_index=True).sort_values([ts, order], kind="stable")
         keep = []
-        for s in (batch[ts].astype("int64") / (1e9 if batch[ts].dtype == "datetime64[ns]" else 1e6)).tolist():
-            go = last is None or s - last >= gap_seconds
+        for s in batch[ts].astype("datetime64[us]").astype("int64").tolist():
+            go = last is None or s - last >= gap
             if go:
                 last = s
             keep.append(go)
@@ -44,4 +44,4 @@ def throttled(events: DataFrame, key: str, ts: str, order: str, gap_seconds: flo
             state.update((last,))
         yield batch.loc[keep, names]
 
-    return events.groupBy(key).applyInPandasWithState(step, events.schema, "last double", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, events.schema, "last long", "append", GroupStateTimeout.NoTimeout)
