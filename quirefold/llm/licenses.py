@@ -142,3 +142,27 @@ def scan(docs: DataFrame, base: Sequence[Template] = BASE, templates: Sequence[T
         F.coalesce(F.array_max(F.transform("places", lambda x: x["score"])), F.lit(0.0)).alias("score"),
         F.transform("places", lambda x: F.struct(x["label"].alias("label"), x["start"].cast("long").alias("start"), x["score"].alias("score"))).alias("places"),
     )
+
+
+def oracle(base: Sequence[Template] = BASE, templates: Sequence[Template] = TEMPLATES) -> str:
+    """SQL for ``scan`` without ``places``, the score rounded: every place of every key phrase, without an index."""
+    every = [*base, *templates]
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = []
+    for t, template in enumerate(every):
+        notice, key = template.notice.split(), template.key.split()
+        shift = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+        rows.append(f"({t}, '{template.label}', {str(t < len(base)).lower()}, {shift}, {listed(key)}, {listed(notice)})")
+    return f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(lower(replace(coalesce(text, ''), chr(8490), chr(224))), '{SEPARATORS}'), lambda x: x <> '') AS words FROM documents),
+templates(t, label, base, shift, key, notice) AS (VALUES {', '.join(rows)}),
+idf AS (SELECT w, ln(((SELECT count(*) FROM texts) + 1) / (count(d.r) + 1)) + 1 AS idf FROM (SELECT unnest({listed(vocabulary(every))}) AS w) v LEFT JOIN texts d ON list_contains(d.words, v.w) GROUP BY w),
+parts AS (SELECT t, unnest(notice) AS w, unnest(range(0, len(notice))) AS k FROM templates),
+places AS (SELECT r, unnest(words) AS w, unnest(range(0, len(words))) AS i FROM texts),
+keyed AS (SELECT p.r, t.t, p.i - t.shift AS start FROM places p JOIN templates t ON p.w = t.key[1] JOIN texts d ON d.r = p.r WHERE list_slice(d.words, p.i + 1, p.i + len(t.key)) = t.key),
+weighed AS (SELECT k.r, k.t, k.start, least(1.0, sum(CASE WHEN k.start + q.k >= 0 AND d.words[k.start + q.k + 1] = q.w THEN idf ELSE 0 END) / sum(idf)) AS score
+  FROM keyed k JOIN parts q USING (t) JOIN idf USING (w) JOIN texts d USING (r) GROUP BY k.r, k.t, k.start),
+found AS (SELECT r, label, base, start, score FROM weighed JOIN templates USING (t) WHERE score >= {COVERAGE})
+SELECT doc_id, CAST(any_value(len(words)) AS BIGINT) AS n_words, CAST(count(*) FILTER (base) AS BIGINT) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, round(coalesce(max(score), 0), 6) AS score
+FROM texts LEFT JOIN found USING (r) GROUP BY r, doc_id"""
