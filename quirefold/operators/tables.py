@@ -65,6 +65,11 @@ def _single(row: Column) -> Column:
     return F.size(F.filter(row, lambda c: ~F.lower(c).isin(*BLANK))) == 1
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda's variable is not expanded where it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def structured(tables: DataFrame) -> DataFrame:
     """``tables(.., cells)`` with headline, description, headers, corner (first header cell empty) and body rows.
 
@@ -83,22 +88,32 @@ def structured(tables: DataFrame) -> DataFrame:
     names = F.filter(F.when(F.col("corner"), F.slice(top, 2, F.greatest(F.size(top) - 1, F.lit(0)))).otherwise(top), lambda c: ~F.lower(c).isin(*BLANK))
     named = named.withColumn("__n", names)
 
-    def numbered(h: Column, i: Column) -> Column:
-        n = F.size(F.filter(F.slice("__n", 1, i), lambda x: x == h))
-        return F.when(n == 0, h).otherwise(F.concat(h, F.lit("_"), n.cast("string")))
+    def unique(n: Column) -> Column:
+        def numbered(h: Column, i: Column) -> Column:
+            k = F.size(F.filter(F.slice(n, 1, i), lambda x: x == h))
+            return F.when(k == 0, h).otherwise(F.concat(h, F.lit("_"), k.cast("string")))
+
+        return F.transform(n, numbered)
 
-    named = named.withColumn("headers", F.transform("__n", numbered)).withColumn("__b", F.slice("__r", 2, F.greatest(F.size("__r") - 1, F.lit(0))))
+    named = named.withColumn("headers", _once(F.col("__n"), unique)).withColumn("__b", F.slice("__r", 2, F.greatest(F.size("__r") - 1, F.lit(0))))
 
-    def entries(row: Column, shift: int) -> Column:
+    def entries(headers: Column, row: Column, shift: int) -> Column:
         """Header and value of the cells that say something; a repeated header keeps its first place and last value."""
-        found = F.filter(F.transform("headers", lambda h, j: F.struct(h.alias("key"), F.get(row, j + shift).alias("value"))), lambda e: e["value"].isNotNull() & ~F.lower(e["value"]).isin(*BLANK))
-        keys = F.array_distinct(F.transform(found, lambda e: e["key"]))
-        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)["value"]))
+        found = F.filter(F.transform(headers, lambda h, j: F.struct(h.alias("key"), F.get(row, j + shift).alias("value"))), lambda e: e["value"].isNotNull() & ~F.lower(e["value"]).isin(*BLANK))
+        last = lambda es: lambda k: F.element_at(F.filter(es, lambda e: e["key"] == k), -1)["value"]
+        return _once(found, lambda es: _once(F.array_distinct(F.transform(es, lambda e: e["key"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, last(es)))))
 
     by_label = F.col("corner") & (F.size("headers") > 0)
-    standard = F.filter(F.transform("__b", lambda r: entries(r, 0)), lambda m: F.size(m) > 0)
-    labelled = F.filter(F.transform(F.filter("__b", lambda r: ~F.lower(F.coalesce(F.get(r, F.lit(0)), F.lit(""))).isin(*BLANK)), lambda r: F.struct(F.get(r, F.lit(0)).alias("label"), entries(r, 1).alias("cells"))), lambda x: F.size(x["cells"]) > 0)
-    out = named.withColumn("standard_rows", F.when(by_label, F.array().cast("array<map<string,string>>")).otherwise(standard)).withColumn("corner_rows", F.when(by_label, labelled).otherwise(F.filter(labelled, lambda x: F.lit(False))))
+    body = F.struct(F.col("headers").alias("h"), F.col("__b").alias("b"))
+    standard = F.filter(_once(body, lambda s: F.transform(s["b"], lambda r: entries(s["h"], r, 0))), lambda m: F.size(m) > 0)
+
+    def labels(s: Column) -> Column:
+        said = F.filter(s["b"], lambda r: ~F.lower(F.coalesce(F.get(r, F.lit(0)), F.lit(""))).isin(*BLANK))
+        return F.transform(said, lambda r: F.struct(F.get(r, F.lit(0)).alias("label"), entries(s["h"], r, 1).alias("cells")))
+
+    labelled = F.filter(_once(body, labels), lambda x: F.size(x["cells"]) > 0)
+    nothing = F.array().cast("array<struct<label:string,cells:map<string,string>>>")
+    out = named.withColumn("standard_rows", F.when(by_label, F.array().cast("array<map<string,string>>")).otherwise(standard)).withColumn("corner_rows", F.when(by_label, labelled).otherwise(nothing))
     kind = F.when(~F.col("has_header") & F.col("headline").isNull(), "no_data").when(F.coalesce("headline", F.lit("")) != "", "headline").otherwise("standard")
     return out.withColumns({"type": kind, "row_count": (F.size("standard_rows") + F.size("corner_rows")).cast("long")}).drop("__r", "__h", "__d", "__n", "__b")
 
