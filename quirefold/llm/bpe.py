@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from quirefold.llm.scratch import small_batches
+
 #: Characters on which Python's ``re`` and the pattern's Unicode classes agree; other texts take ``regex``.
 _PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞一-鿿]")
 _FAST = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
@@ -74,7 +76,7 @@ FEW = 20
 class Transducer:
     """Bytes of one piece to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 120_000):
         self.ranks, self.most = ranks, most_states
         self.token = {r: t for t, r in ranks.items()}
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int, int]] | None] = {}
@@ -133,7 +135,7 @@ class Transducer:
         key = before << 20 | token
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 600_000:
+            if len(self.pairs) > 250_000:
                 self.pairs.clear()
             left, right = [("", -1, 0)] if before < 0 else self.edge(before, True), self.edge(token, False)
             found = left is not None and right is not None
@@ -220,7 +222,7 @@ class Pieces(dict):
 class Encoder:
     """Whole texts to ids, with the results of up to ``most_pieces`` pieces kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 450_000):
         self.split, self.machine = Splitter(pattern), Transducer(ranks)
         self.known = Pieces(lambda piece: self.machine.encode(piece.encode("utf-8")), most_pieces)
 
@@ -293,6 +295,7 @@ def _encoder(data: bytes, key: tuple[str, str]) -> tuple[Encoder, list[bytes]]:
 
 def _rank_file(spark: SparkSession, path: str):
     """The vocabulary, a file of fixed size, as a broadcast variable: executors need not have it."""
+    small_batches(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
