@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quirefold.llm.scratch import small_batches
 from quirefold.llm.shingles import NOT_SPACE, Words, slices, text_buffers
 
 #: At most so many labelled rows are fitted on, and so many pairs of them.
@@ -140,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs(text, ...)`` -> its other columns, ``score`` and ``predicted``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,11 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Keeps Arrow batches to Python workers small in bytes, as texts may be long; a setting of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 class Scratch:
     """Named Parquet tables below one folder, removed one by one or when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._fs().deleteOnExit(self._path(self.root))
 
