@@ -111,3 +111,19 @@ def section_counters(outputs: DataFrame, sidecars: DataFrame) -> DataFrame:
         F.count_if(got & (F.col("old_description") == "")).alias("first_pass_additions"), F.count_if(got & (F.col("old_description") != "")).alias("second_pass_updates"), F.count_if(~got).alias("files_not_found"))
     out = outputs.select("path").join(seen, "path", "left").join(items, "path", "left")
     return out.select("path", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("json_sections_processed", "first_pass_additions", "second_pass_updates", "files_not_found", "errors_occurred")))
+
+
+def process_folder(outputs: DataFrame, listing: DataFrame, sidecars: DataFrame, require_media: bool = True, suffix: str = "_media") -> tuple[DataFrame, DataFrame]:
+    """All texts of a folder: those whose text changed, and the counters of every text with ``skipped`` for want of a media folder."""
+    placed = folders(outputs, listing, suffix)
+    active = placed.where("media is not null") if require_media else placed.withColumn("media", F.coalesce("media", F.concat(t.stem(F.col("path")), F.lit(suffix))))
+    counters = section_counters(active, sidecars).withColumn("skipped", F.lit(0).cast("long"))
+    if require_media:
+        none = [F.lit(0).cast("long").alias(c) for c in counters.columns[1:-1]]
+        counters = counters.unionByName(placed.where("media is null").select("path", *none, F.lit(1).cast("long").alias("skipped")))
+    return injected(active, sidecars).where("changed").select("path", "text"), counters
+
+
+def totals(counters: DataFrame) -> DataFrame:
+    """Sums over texts, or over folders of such sums."""
+    return counters.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters.columns if c != "path"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quirefold.config import DESCRIPTION_LENGTHS
+from quirefold.functions import text as t
 
 
 def rolling_rate(events: DataFrame, key: str, ts: str, amount: str, window: str, order: str) -> DataFrame:
@@ -75,3 +76,19 @@ def run_summary(best: DataFrame) -> DataFrame:
     return best.agg(
         F.count(F.lit(1)).alias("processed"), F.count_if(F.col("outcome") == "valid").alias("valid"), F.count_if(F.col("outcome") == "short").alias("short"),
         F.count_if(F.col("outcome") == "long").alias("long"), F.array_sort(F.collect_list(F.when(F.col("outcome") != "valid", F.col("image")))).alias("failed"))
+
+
+def eligible_files(state: DataFrame) -> DataFrame:
+    """Files that may be converted: ready ones, and those done before."""
+    return state.where(F.col("status").isin("Ready", "Done"))
+
+
+def scan_totals(state: DataFrame) -> DataFrame:
+    return state.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("pages"))
+
+
+def progress_totals(events: DataFrame) -> DataFrame:
+    """The sums of each file's latest event: pages done and in all, images, drawings, and the share done in percent."""
+    values = ("pages_done", "total_pages", "images", "drawings")
+    sums = latest(events, "file", ["ts", "seq"], *values).agg(*(F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values))
+    return sums.withColumn("percent", t.percent(F.col("pages_done"), F.col("total_pages")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -77,28 +77,99 @@ def validated(files: DataFrame, opener=_open) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, VALIDATED)
 
 
-BLOCKS = "doc_id string, page_num int, block_idx int, x0 double, y0 double, x1 double, y1 double, text string, width double, height double"
+_PAGE = "doc_id string, page_num int, "
+_BOX = "x0 double, y0 double, x1 double, y1 double"
+_FOUR = tuple[float, float, float, float]
 
 
-def blocks(files: DataFrame, opener=_open) -> DataFrame:
-    """``files(path, content, first_page, last_page)`` -> text blocks of the pages; one failed page is a row without geometry."""
+def _four(box) -> _FOUR:
+    return tuple(float(v) for v in (box if isinstance(box, (tuple, list)) else (box.x0, box.y0, box.x1, box.y1)))
+
+
+def scan_pages(files: DataFrame, columns: str, read: Callable[[object], list[tuple]], opener=_open) -> DataFrame:
+    """``files(path, content, first_page, last_page)`` -> the rows that ``read(page)`` finds on each page.
+
+    A page that cannot be read is one row of nulls beside its number: errors are data, and other pages stay.
+    """
+    schema = _PAGE + columns + ", error string"
+    names = [c.strip().split()[0] for c in schema.replace("array<array<string>>", "x").split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in BLOCKS.split(", ")]
         for batch in batches:
             rows = []
             for path, content, first, last in zip(batch["path"], batch["content"], batch["first_page"], batch["last_page"]):
                 with opener(bytes(content)) as document:
                     for n in range(int(first), int(last) + 1):
                         try:
-                            page = document[n - 1]
-                            w, h = float(page.rect.width), float(page.rect.height)
-                            rows += [(path, n, k, *map(float, b[:4]), b[4], w, h) for k, b in enumerate(page.get_text("blocks"))]
-                        except Exception:
-                            rows.append((path, n, -1, None, None, None, None, None, None, None))
-            yield pd.DataFrame(rows, columns=columns)
-
-    return files.select("path", "content", "first_page", "last_page").mapInPandas(run, BLOCKS)
+                            rows += [(path, n, *found, None) for found in read(document[n - 1])]
+                        except Exception as e:
+                            rows.append((path, n, *[None] * (len(names) - 3), str(e)))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return files.select("path", "content", "first_page", "last_page").mapInPandas(run, schema)
+
+
+def blocks(files: DataFrame, opener=_open) -> DataFrame:
+    """Text blocks with the page's size."""
+
+    def read(page) -> list[tuple]:
+        size = float(page.rect.width), float(page.rect.height)
+        return [(k, *_four(b[:4]), b[4], *size) for k, b in enumerate(page.get_text("blocks"))]
+
+    return scan_pages(files, f"block_idx int, {_BOX}, text string, width double, height double", read, opener)
+
+
+def images_on_pages(files: DataFrame, opener=_open) -> DataFrame:
+    """Images placed on pages, with their size in pixels."""
+
+    def read(page) -> list[tuple]:
+        return [(k, int(i.get("xref", 0)), *_four(i["bbox"]), int(i["width"]), int(i["height"])) for k, i in enumerate(page.get_image_info(xrefs=True))]
+
+    return scan_pages(files, f"img_idx int, xref int, {_BOX}, px_width int, px_height int", read, opener)
+
+
+def drawings_on_pages(files: DataFrame, opener=_open) -> DataFrame:
+    """Vector drawings, with the kinds of their items joined by commas."""
+
+    def read(page) -> list[tuple]:
+        return [(k, *_four(d["rect"]), ",".join(str(i[0]) for i in d.get("items", ()))) for k, d in enumerate(page.get_drawings())]
+
+    return scan_pages(files, f"idx int, {_BOX}, kinds string", read, opener)
+
+
+def drawing_clusters_on_pages(files: DataFrame, opener=_open) -> DataFrame:
+    """Groups of drawings as the reader clusters them."""
+    return scan_pages(files, f"idx int, {_BOX}", lambda page: [(k, *_four(b)) for k, b in enumerate(page.cluster_drawings() or ())], opener)
+
+
+def tables_on_pages(files: DataFrame, opener=_open) -> DataFrame:
+    """Detected table grids; pages without a line or rectangle are not searched, as the search is dear."""
+
+    def read(page) -> list[tuple]:
+        if not any(i[0] in ("l", "re") for d in page.get_drawings() for i in d.get("items", ())):
+            return []
+        return [(k + 1, *_four(t.bbox), [[None if c is None else str(c) for c in row] for row in t.extract()]) for k, t in enumerate(page.find_tables())]
+
+    return scan_pages(files, f"table_num int, {_BOX}, cells array<array<string>>", read, opener)
+
+
+def saved_media(items: DataFrame, render: Callable[[dict], None]) -> DataFrame:
+    """``items`` with ``saved`` and ``save_error``: ``render(row)`` writes one picture; what fails is a state, not an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            errors = []
+            for row in batch.to_dict("records"):
+                try:
+                    render(row)
+                    errors.append(None)
+                except Exception as e:
+                    errors.append(str(e))
+            yield batch.assign(saved=[e is None for e in errors], save_error=errors)
+
+    kept = items.drop("saved", "save_error")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInPandas(run, f"{fields}, saved boolean, save_error string")
 
 
 def changed_only(outputs: DataFrame, before: DataFrame) -> DataFrame:

@@ -18,6 +18,13 @@ from quirefold.streaming import progress as stream
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+class FakeTable:
+    bbox = (0, 1, 2, 3)
+
+    def extract(self):
+        return [["a", None], ["b", 1]]
+
+
 class FakePage:
     class rect:
         width, height = 100.0, 200.0
@@ -25,6 +32,18 @@ class FakePage:
     def __init__(self, n):
         self.n = n
 
+    def get_image_info(self, xrefs):
+        return [{"xref": 9, "bbox": (0, 0, 5, 5), "width": 50, "height": 60}]
+
+    def get_drawings(self):
+        return [{"rect": (1, 1, 2, 2), "items": [("l",), ("c",)]}] if self.n == 1 else []
+
+    def cluster_drawings(self):
+        return [(0, 0, 9, 9)]
+
+    def find_tables(self):
+        return [FakeTable()]
+
     def get_text(self, kind):
         if self.n == 2:
             raise ValueError("damaged page")
@@ -66,6 +85,28 @@ def test_listing_and_validation(spark, tmp_path):
     assert [(r.page_num, r.text) for r in files.blocks(pages, fake_open).orderBy("page_num").collect()] == [(1, "page 1"), (2, None), (3, "page 3")]
 
 
+def test_page_scans_and_saving(spark):
+    f = spark.createDataFrame([("p", b"fine", 1, 2)], "path string, content binary, first_page int, last_page int")
+    assert [(r.page_num, r.xref, r.px_width) for r in files.images_on_pages(f, fake_open).collect()] == [(1, 9, 50), (2, 9, 50)]
+    assert [(r.page_num, r.kinds) for r in files.drawings_on_pages(f, fake_open).collect()] == [(1, "l,c")]
+    assert [r.x1 for r in files.drawing_clusters_on_pages(f, fake_open).collect()] == [9.0, 9.0]
+    assert [(r.page_num, r.table_num, r.cells) for r in files.tables_on_pages(f, fake_open).collect()] == [(1, 1, [["a", None], ["b", "1"]])]
+
+    def render(row):
+        if row["idx"] == 2:
+            raise OSError("disk full")
+
+    items = spark.createDataFrame([(1,), (2,)], "idx int")
+    assert [(r.saved, r.save_error) for r in files.saved_media(items, render).orderBy("idx").collect()] == [(True, None), (False, "disk full")]
+
+
+def test_file_states(spark):
+    state = spark.createDataFrame([("Ready", 3), ("Error", None), ("Done", 4)], "status string, page_count int")
+    assert progress.eligible_files(state).count() == 2 and tuple(progress.scan_totals(state).first()) == (3, 7)
+    events = spark.createDataFrame([("a", 1, 1, 1, 4, 0, 0), ("a", 2, 2, 2, 4, 1, 0), ("b", 1, 1, 3, 6, 0, 2)], "file string, ts int, seq int, pages_done int, total_pages int, images int, drawings int")
+    assert tuple(progress.progress_totals(events).first()) == (5, 10, 1, 2, 50)
+
+
 def test_pdf_reader_is_optional():
     with pytest.raises(RuntimeError, match="optional"):
         files._open(b"x")

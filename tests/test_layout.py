@@ -165,3 +165,7 @@ def test_media_folder_and_idempotent_injection(spark):
     assert got["/o/y.txt"] == ("plain", False)
     again = {r.path: r.text for r in enrich.injected(once.drop("changed"), sidecars).collect()}
     assert again == {p: x for p, (x, _) in got.items()}
+    done, counters = enrich.process_folder(outputs.unionByName(spark.createDataFrame([("/o/z.txt", "no folder")], "path string, text string")), listing, sidecars)
+    assert [r.path for r in done.collect()] == ["/o/x.txt"]
+    assert {r.path: (r.first_pass_additions, r.skipped) for r in counters.collect()} == {"/o/x.txt": (1, 0), "/o/y.txt": (0, 0), "/o/z.txt": (0, 1)}
+    assert enrich.totals(counters).first().skipped == 1
