@@ -13,7 +13,7 @@ from quirefold.llm import bpe, decontaminate, language, minhash, secrets
 from quirefold.llm.scratch import Scratch
 
 #: A text whose best language has less than this mean probability over its positions is rejected, as is one without letters.
-LEAST_LANGUAGE_SCORE = 0.3
+LEAST_LANGUAGE_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
