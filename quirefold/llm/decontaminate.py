@@ -33,6 +33,7 @@ LEAST, ENOUGH, RADIUS = 5, 13, 48
 LONGEST = max(map(len, MASKS))
 #: Bits of the filter: so many for each seed, between these powers of two.
 BITS_A_SEED, LEAST_BITS, MOST_BITS = 1024, 20, 27
+CHUNK = 1 << 18
 WORD = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF), inside=True)
 
 
@@ -40,15 +41,14 @@ def _seeds(hashes: np.ndarray, left: np.ndarray, masks: list[str]) -> Iterator[t
     """For each mask: its number, the positions where it fits (``left``: words from there to the text's end) and hashes."""
     for k, mask in enumerate(masks):
         n = len(hashes) - len(mask) + 1
-        if n <= 0:
-            continue
-        at = np.flatnonzero(left[:n] >= len(mask))
-        total = np.full(len(at), U((len(mask) * 131 + int(mask, 2)) * 0x9E3779B97F4A7C15 % (1 << 64)))
-        for j, c in enumerate(mask):
-            if c == "1":
-                total = (total ^ hashes[at + j]) * U(0x9FB21C651E98DF25)
-                total ^= total >> U(29)
-        yield k, at, mix(total)
+        for low in range(0, n, CHUNK):  # positions in runs, so that a long text makes no wide arrays
+            at = low + np.flatnonzero(left[low : min(low + CHUNK, n)] >= len(mask))
+            total = np.full(len(at), U((len(mask) * 131 + int(mask, 2)) * 0x9E3779B97F4A7C15 % (1 << 64)))
+            for j, c in enumerate(mask):
+                if c == "1":
+                    total = (total ^ hashes[at + j]) * U(0x9FB21C651E98DF25)
+                    total ^= total >> U(29)
+            yield k, at, mix(total)
 
 
 def _left(bounds: np.ndarray, n: int) -> np.ndarray:

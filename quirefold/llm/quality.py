@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quirefold.llm.scratch import small_batches
-from quirefold.llm.shingles import NOT_SPACE, Words, slices, text_buffers
+from quirefold.llm.shingles import CHUNK, NOT_SPACE, Words, slices, text_buffers
 
 #: At most so many labelled rows are fitted on, and so many pairs of them.
 SAMPLE, PAIRS = 6_000, 60_000
@@ -64,8 +64,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     rows, base = len(offsets) - 1, int(offsets[0])
     text = data[base : int(offsets[-1])]
     size = np.diff(offsets)
-    owner = np.repeat(np.arange(rows), size)
-    counts = np.bincount(owner * len(_CLASSES) + _CLASS[text], minlength=rows * len(_CLASSES)).reshape(rows, -1)
+    if rows == 1:  # may be long: counted in runs
+        counts = sum((np.bincount(_CLASS[text[a : a + CHUNK]], minlength=len(_CLASSES)) for a in range(0, len(text), CHUNK)), np.zeros(len(_CLASSES), np.int64))[None]
+    else:
+        owner = np.repeat(np.arange(rows), size)
+        counts = np.bincount(owner * len(_CLASSES) + _CLASS[text], minlength=rows * len(_CLASSES)).reshape(rows, -1)
     shares = counts / np.maximum(size, 1)[:, None]
     n, distinct, same, top = _spread(Words(data, offsets, NOT_SPACE), rows)
     lines, kinds, same_lines, top_line = _spread(Words(data, offsets, _ENDS), rows)

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+CHUNK = 1 << 20
 _R = U(0x9E3779B97F4A7C15 | 1)
 _RINV = U(pow(int(_R), -1, 1 << 64))
 _SALTS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -70,10 +71,17 @@ class Words:
             after[-1] = False
             after[:-1] = inside[1:] & before[1:]
         end = np.flatnonzero(inside & ~after) + 1 if n else start
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((text.astype(np.uint64) + U(1)) * _power("up", n)[:n], out=total[1:])
-        h = (total[end] - total[start]) * _power("down", n + 1)[start]
-        self.hash = mix(h + (end - start).astype(np.uint64) * _SALTS[7])
+        # Runs of words of about CHUNK bytes: the wide arrays stay small however long a text is.
+        self.hash, i = np.empty(len(start), dtype=np.uint64), 0
+        while i < len(start):
+            low = start[i]
+            j = max(i + 1, int(np.searchsorted(end, low + CHUNK, side="right")))
+            own = text[low : end[j - 1]]
+            total = np.zeros(len(own) + 1, dtype=np.uint64)
+            np.cumsum((own.astype(np.uint64) + U(1)) * _power("up", len(own))[: len(own)], out=total[1:])
+            h = (total[end[i:j] - low] - total[start[i:j] - low]) * _power("down", len(own))[start[i:j] - low]
+            self.hash[i:j] = mix(h + (end[i:j] - start[i:j]).astype(np.uint64) * _SALTS[7])
+            i = j
         self.bounds = np.searchsorted(start, offsets - base)
         self.start, self.end = start, end
 
