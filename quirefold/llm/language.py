@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quirefold.llm.scratch import small_batches
 from quirefold.llm.shingles import slices, text_buffers
 
 WINDOW, HIDDEN = 64, 8
@@ -175,18 +176,28 @@ def _has_letter(text: str) -> bool:
 
 
 def _sample(docs: DataFrame, per_language: int, most: int) -> tuple[np.ndarray, np.ndarray, tuple[str, ...]]:
-    """Training windows of a bounded sample: the smallest hashes of each language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    usable = docs.where("lang is not null and text is not null").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    """Training windows of a bounded sample: the smallest hashes of each language.
+
+    Ids are ranked without their texts, and of a large language only about twice as many ids as are wanted.
+    """
+    counts = docs.where("lang is not null").groupBy("lang").count().orderBy("lang").limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages in the training rows")
+    if not counts:
+        return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), ()
+    most_hash = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, (2.0 * per_language + 50) / r["count"]) * (1 << 40)))))
+    low = docs.where("lang is not null").select("lang", "doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= F.element_at(most_hash, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
+    chosen = low.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"))
+    usable = docs.where("text is not null").join(F.broadcast(chosen), (F.col("lang") == F.col("__lang")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")  # at most per_language * most rows
+    usable = usable.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     size = F.octet_length("text")
     raw = F.to_binary("text", F.lit("utf-8"))
     at = [F.substring(raw, F.floor(size * (2 * i + 1) / (2 * WINDOWS_A_TEXT) - WINDOW / 2).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS_A_TEXT)]
     rows = usable.select("lang", "doc_id", F.explode(F.array(*at)).alias("w")).where(F.octet_length("w") == WINDOW)
-    names = sorted(r[0] for r in rows.groupBy("lang").count().orderBy("lang").limit(most + 1).collect())
-    if len(names) > most:
-        raise ValueError(f"more than {most} languages in the training rows")
     got = rows.select("lang", "w", "doc_id").collect()
-    got.sort(key=lambda r: (r.lang, r.doc_id, bytes(r.w)))
+    got.sort(key=lambda r: (r.lang, r.doc_id is not None, r.doc_id or 0, bytes(r.w)))
+    names = sorted({r.lang for r in got})
     windows = np.frombuffer(b"".join(bytes(r.w) for r in got), dtype=np.uint8).reshape(-1, WINDOW)
     place = {name: i for i, name in enumerate(names)}
     return windows, np.array([place[r.lang] for r in got], dtype=np.int64), tuple(names)
@@ -231,5 +242,6 @@ def _predicting(shared, keep_text: bool):
 def predict(docs: DataFrame, model: Model | None, keep_text: bool = False) -> DataFrame:
     """``docs(text, ...)`` -> its other columns (``text`` too if asked for) with ``lang_pred`` and ``score`` (the mean position probability)."""
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != "text")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_predicting(shared, keep_text), f"{rest}{', ' * bool(rest)}lang_pred string, score double")
