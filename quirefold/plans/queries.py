@@ -509,3 +509,102 @@ def describe_images(spark, sf_dir):
     """The describing run with the stand-in model over the pages' bytes."""
     images = fx.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("image"), F.to_binary("html", F.lit("utf-8")).alias("content"))
     return progress.best_attempt(describe.attempts(images)).select("image", F.md5("description").alias("digest"), "attempts", "outcome")
+
+
+# Further rows of the inventory ------------------------------------------------------------------------------------
+
+
+@query(f"{_B} SELECT page_num, idx, CAST({_PX.format('x1 - x0')} AS BIGINT) AS w, CAST({_PX.format('y1 - y0')} AS BIGINT) AS h, printf('f_page_%04d_img_%02d.png', page_num, idx) AS name, greatest(0, x0 - 5) AS cx0, least(612, x1 + 5) AS cx1 FROM boxes")
+def pixel_sizes(spark, sf_dir):
+    b = g.box()
+    area = g.clamp(b, F.lit(fx.WIDTH), F.lit(fx.HEIGHT), 5.0)
+    name = g.media_name(F.lit("f"), F.col("page_num").cast("int"), "img", F.col("idx").cast("int"))
+    return fx.boxes(spark, sf_dir).select("page_num", "idx", g.pixels(b.width).alias("w"), g.pixels(b.height).alias("h"), name.alias("name"), area.x0.alias("cx0"), area.x1.alias("cx1"))
+
+
+@query("""SELECT p_partkey, CAST(trunc(w * (1024.0::DOUBLE / greatest(w, h))) AS BIGINT) AS fw, CAST(trunc(h * (1024.0::DOUBLE / greatest(w, h))) AS BIGINT) AS fh FROM (SELECT p_partkey, p_size * 16 AS w, 100 + p_partkey % 900 AS h FROM part)""")
+def fitted_sizes(spark, sf_dir):
+    w, h = g.fitted_size(F.col("p_size") * 16, 100 + F.col("p_partkey") % 900, 1024)
+    return fx.table(spark, sf_dir, "part").select("p_partkey", w.alias("fw"), h.alias("fh"))
+
+
+@query(f"""{_B}, {fx.BLOCKS} SELECT page_num, idx FROM blocks WHERE text <> '' AND len(regexp_replace(text, '[{_WS}]', '', 'g')) <= 80 AND (len(text) - len(regexp_replace(text, '[{t.EUROPEAN}]', '', 'g'))) / len(text) > 0.5 AND {_LARGE}""")
+def small_text_blocks(spark, sf_dir):
+    return media.small_text(fx.blocks(spark, sf_dir)).select("page_num", F.col("block_idx").alias("idx"))
+
+
+@query(f"{_B} SELECT i.page_num, i.idx FROM boxes i WHERE i.kind <> 2 AND EXISTS (SELECT 1 FROM boxes t WHERE t.page_num = i.page_num AND t.kind = 2 AND {_sql_similar('i', 't', 0.9)})")
+def text_overlap_semi(spark, sf_dir):
+    items = fx.of_kind(spark, sf_dir, 0, 1, 3, 4)
+    return media.over_text(items, fx.of_kind(spark, sf_dir, 2)).select("page_num", "idx")
+
+
+@query(f"""{_B} SELECT a.page_num, a.idx AS idx_a, b.idx AS idx_b, round({_DISTANCE}, 6) AS distance FROM boxes a JOIN boxes b ON a.page_num = b.page_num AND a.idx < b.idx AND a.kind = 1 AND b.kind <> 1""")
+def box_distances(spark, sf_dir):
+    a, b = g.box(suffix="_a"), g.box(suffix="_b")
+    pairs = media.pairs_within(fx.of_kind(spark, sf_dir, 1), fx.of_kind(spark, sf_dir, 0, 2, 3, 4), "idx", lambda x, y: F.lit(True))
+    return pairs.select("page_num", "idx_a", "idx_b", F.round(g.distance(a, b), 6).alias("distance"))
+
+
+@query("""SELECT url, CASE WHEN contains(url, '/') THEN regexp_extract(url, '^(.*)/[^/]*$', 1) ELSE '' END AS folder, regexp_extract(url, '[^/]*$') AS name, regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS stem FROM pages""".replace("\\\\", "\\"))
+def path_parts(spark, sf_dir):
+    u = F.col("url")
+    return fx.table(spark, sf_dir, "pages").select("url", t.folder(u).alias("folder"), t.base_name(u).alias("name"), t.stem(u).alias("stem"))
+
+
+@query("""SELECT DISTINCT user_id AS path FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)""")
+def list_dedupe(spark, sf_dir):
+    from quirefold.sources import files
+
+    found = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("path"))
+    return files.new_paths(found, fx.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("path")))
+
+
+@query(f"""WITH {_RESULTS}, c AS (SELECT doc_id, page_num, failed, (page_num - 1) // 2 AS chunk, max(failed) OVER w AS lost, min(page_num) OVER w AS first, count(*) OVER w AS n FROM results WINDOW w AS (PARTITION BY doc_id, (page_num - 1) // 2))
+SELECT doc_id, page_num, lost AS failed, CASE WHEN lost THEN n ELSE 0 END AS pages_failed FROM c WHERE NOT lost OR page_num = first""")
+def chunk_errors(spark, sf_dir):
+    pages = _page_results(spark, sf_dir).withColumn("chunk", F.expr("(page_num - 1) div 2")).drop("pages_failed")
+    out = assemble.isolate_errors(pages, whole_chunk=True)
+    return out.select("doc_id", "page_num", F.col("error").isNotNull().alias("failed"), F.col("pages_failed").cast("long").alias("pages_failed"))
+
+
+@query("""WITH g AS (SELECT conv_id, count(*) FILTER (len(text) BETWEEN 100 AND 3500) AS good, max(len(text)) AS longest FROM conversations GROUP BY conv_id)
+SELECT count(*) AS processed, count(*) FILTER (good > 0) AS valid, count(*) FILTER (good = 0 AND longest < 100) AS short, count(*) FILTER (good = 0 AND longest >= 100) AS long FROM g""")
+def describe_summary(spark, sf_dir):
+    tries = fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("image"), (F.col("turn") + 1).alias("attempt"), F.col("text").alias("description"))
+    return progress.run_summary(progress.best_attempt(tries)).drop("failed")
+
+
+@query("""WITH last AS (SELECT user_id, event_id % 40 AS done, 40 AS total FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT CAST(sum(done) AS BIGINT) AS pages_done, CAST(sum(total) AS BIGINT) AS total_pages, CAST(sum(done) * 100 // sum(total) AS BIGINT) AS percent FROM last""")
+def progress_sums(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events")
+    events = e.select(F.col("user_id").alias("file"), "ts", F.col("event_id").alias("seq"), (F.col("event_id") % 40).alias("pages_done"), F.lit(40).alias("total_pages"), F.lit(0).alias("images"), F.lit(0).alias("drawings"))
+    return progress.progress_totals(events).select(*(F.col(c).cast("long").alias(c) for c in ("pages_done", "total_pages", "percent")))
+
+
+@query("""SELECT event_id, CASE WHEN s > 0 THEN round(n / s, 6) ELSE 0 END AS rate, CASE WHEN n > 0 AND s > 0 THEN round((40 - n) / (n / s), 6) END AS remaining FROM (SELECT event_id, CAST(event_id % 40 AS DOUBLE) AS n, CAST(event_id % 13 AS DOUBLE) AS s FROM events)""")
+def rates(spark, sf_dir):
+    n, s = (F.col("event_id") % 40).cast("double"), (F.col("event_id") % 13).cast("double")
+    return fx.table(spark, sf_dir, "events").select("event_id", F.round(t.rate(n, s), 6).alias("rate"), F.round(t.remaining_seconds(n, F.lit(40.0), s), 6).alias("remaining"))
+
+
+@query(f"""SELECT doc_id, md5({_strip_sql("regexp_replace('# **' || substr(text, 1, 50) || '** ', '\\*\\*|#', '', 'g')".replace("\\\\", "\\"))}) AS answer, coalesce(nullif({_strip_sql("regexp_replace(regexp_replace('Start of ' || lang || CASE WHEN doc_id % 2 = 0 THEN ' weekend END' ELSE '' END, '(?i)\\b(start|end)\\b', '', 'g'), ' +', ' ', 'g')".replace("\\\\", "\\"))}, ''), 'No description available') AS sidecar FROM documents""")
+def description_clean(spark, sf_dir):
+    answer = F.concat(F.lit("# **"), F.substring("text", 1, 50), F.lit("** "))
+    sidecar = F.concat(F.lit("Start of "), "lang", F.when(F.col("doc_id") % 2 == 0, " weekend END").otherwise(""))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.md5(t.clean_description(answer)).alias("answer"), t.clean_sidecar(sidecar).alias("sidecar"))
+
+
+@query(f"""SELECT CAST(2 * count(*) AS BIGINT) AS json_sections_processed, CAST(sum(CASE WHEN ({_PICTURE}) IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS first_pass_additions, CAST(sum(CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS second_pass_updates,
+  CAST(sum(CASE WHEN ({_PICTURE}) IS NULL THEN 1 ELSE 0 END + CASE WHEN doc_id % 4 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS files_not_found, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS errors_occurred FROM documents""")
+def description_totals(spark, sf_dir):
+    return enrich.totals(enrich.section_counters(_outputs(spark, sf_dir), _sidecars(spark, sf_dir)))
+
+
+@query(f"""{_B}, p AS (SELECT DISTINCT page_num FROM boxes), {_IMAGES.format('1')}, {_JUDGED.format(30)}, s AS (SELECT page_num, count(*) AS n FROM judged GROUP BY page_num)
+SELECT page_num, CASE WHEN n IS NULL THEN 'No images detected on page ' || page_num || '.' ELSE 'IMAGES FOUND ON PAGE ' || page_num || ': ' || n END AS head FROM p LEFT JOIN s USING (page_num)""")
+def media_sections(spark, sf_dir):
+    summary = assemble.image_summary(_judged(spark, sf_dir, LayoutConfig(min_size_px=30)))
+    made = assemble.media_section(summary, fx.pages(spark, sf_dir), "image")
+    return made.select("page_num", F.regexp_extract("section", r"^\n*([^\n]*)", 1).alias("head"))
