@@ -8,14 +8,14 @@ The model of a block predicts ids.  Order 2 and order 1 name the id that followe
 ids before, with a confidence.  A first binary decision says whether order 2 is right, a second one
 whether order 1 is; their probabilities mix two adaptive estimates, one by both confidences and one by
 the order's own.  What neither names is coded by order 0: the high part of the id by adaptive
-frequencies that are brought up to date at fixed, doubling intervals, the low byte evenly.  A 32-bit
-range coder turns all of this into 16-bit digits; carries are resolved at the end of a block.
+frequencies that are brought up to date at fixed, doubling intervals, the low byte evenly.  A 64-bit
+range coder turns all of this into 32-bit digits; carries are resolved at the end of a block.
 
 All arithmetic is in integers, so that files can be read on any machine.
 
 Layout, little-endian: magic, version, block size, numbers of documents, ids and blocks (uint32 each but
 uint64 for the ids); document ids (int64) and whether they are null (uint8); document lengths (int64);
-for each block its bytes (uint32) and the CRC-32 of its ids (uint32); the blocks.
+for each block its bytes (uint32) and the CRC-32 of its ids and bytes (uint32); the blocks.
 """
 
 from __future__ import annotations
@@ -106,112 +106,126 @@ def _goal(hit: np.ndarray) -> np.ndarray:
     return np.where(hit, np.int32(4032), np.int32(64))
 
 
+_HALF, _LOW_HALF, _LEAST_RANGE = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
+_BIT, _LITERAL = np.uint64(12), np.uint64(TOTAL + 8)  # bits of a decision's and of a literal's interval
+_ZERO = np.uint64(0)
+
+
 class _Writer:
-    """Range coders of n lanes; digits of 16 bits, a carry being a digit's 17th bit until the end."""
+    """Range coders of n lanes; what is carried over is added to the digit before, and passed on at the end."""
 
     def __init__(self, n: int, most: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFF, np.uint64)
-        self.digits, self.used = np.zeros((n, most), np.uint32), np.zeros(n, np.int64)
+        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.digits, self.used = np.zeros((n, most), np.uint64), np.zeros(n, np.int64)
         self.flat, self.width = self.digits.reshape(-1), most
 
-    def put(self, lanes: np.ndarray | None, low: np.ndarray, high: np.ndarray, bits: int) -> None:
-        """Codes the interval [low, high) of 2^bits; a high of 2^bits takes the rest of the range."""
-        whole_low, whole_range = (self.low, self.range) if lanes is None else (self.low[lanes], self.range[lanes])
-        part = whole_range >> np.uint64(bits)
-        start = part * low
-        new_low = whole_low + start
-        new_range = np.where(high == np.uint64(1 << bits), whole_range - start, part * (high - low))
-        small = np.flatnonzero(new_range < 0x10000)
+    def _narrow(self, lanes: np.ndarray | None, before: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
+        carried = np.flatnonzero(low < before)
+        if len(carried):
+            own = carried if lanes is None else lanes[carried]
+            self.flat[own * self.width + self.used[own] - 1] += np.uint64(1)
+        small = np.flatnonzero(span < _LEAST_RANGE)
         if len(small):
             own = small if lanes is None else lanes[small]
-            x = new_low[small]
-            self.flat[own * self.width + self.used[own]] = (x >> np.uint64(16)).astype(np.uint32)
+            self.flat[own * self.width + self.used[own]] = low[small] >> _HALF
             self.used[own] += 1
-            new_low[small] = (x & np.uint64(0xFFFF)) << np.uint64(16)
-            new_range[small] <<= np.uint64(16)
+            low[small] <<= _HALF
+            span[small] <<= _HALF
         if lanes is None:
-            self.low, self.range = new_low, new_range
+            self.low, self.range = low, span
         else:
-            self.low[lanes], self.range[lanes] = new_low, new_range
+            self.low[lanes], self.range[lanes] = low, span
+
+    def decide(self, lanes: np.ndarray | None, chance: np.ndarray, hit: np.ndarray) -> None:
+        low, span = (self.low, self.range) if lanes is None else (self.low[lanes], self.range[lanes])
+        start = (span >> _BIT) * chance
+        self._narrow(lanes, low, low + np.where(hit, _ZERO, start), np.where(hit, start, span - start))
+
+    def literal(self, lanes: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+        low, part = self.low[lanes], self.range[lanes] >> _LITERAL
+        self._narrow(lanes, low, low + part * place, part * size)
 
     def end(self) -> list[bytes]:
         lane = np.arange(len(self.low))
-        for shift in (16, 0):
-            self.flat[lane * self.width + self.used] = ((self.low >> np.uint64(shift)) & np.uint64(0x1FFFF if shift else 0xFFFF)).astype(np.uint32)
+        for digit in (self.low >> _HALF, self.low & _LOW_HALF):
+            self.flat[lane * self.width + self.used] = digit
             self.used += 1
         for k in range(int(self.used.max()) - 1, 0, -1):
-            self.digits[:, k - 1] += self.digits[:, k] >> 16
-        short = (self.digits & 0xFFFF).astype("<u2")
+            self.digits[:, k - 1] += self.digits[:, k] >> _HALF
+        short = (self.digits & _LOW_HALF).astype("<u4")
         return [short[i, : self.used[i]].tobytes() for i in range(len(lane))]
 
 
 class _Reader:
     def __init__(self, blocks: list[bytes]):
-        width = max(map(len, blocks)) // 2 + 2
-        self.digits = np.zeros((len(blocks), width), np.uint64)
+        self.width = max(map(len, blocks)) // 4 + 2
+        digits = np.zeros((len(blocks), self.width), np.uint64)
         for i, b in enumerate(blocks):
-            self.digits[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-        self.flat, self.width = self.digits.reshape(-1), width
-        self.code = self.digits[:, 0] << np.uint64(16) | self.digits[:, 1]
-        self.range = np.full(len(blocks), 0xFFFFFFFF, np.uint64)
+            digits[i, : len(b) // 4] = np.frombuffer(b, "<u4", len(b) // 4)
+        self.flat = digits.reshape(-1)
+        self.code = digits[:, 0] << _HALF | digits[:, 1]
+        self.range = np.full(len(blocks), 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.used = np.full(len(blocks), 2, np.int64)
 
-    def where(self, lanes: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        code, whole = (self.code, self.range) if lanes is None else (self.code[lanes], self.range[lanes])
-        return code, whole, whole >> np.uint64(bits), None
-
-    def take(self, lanes, code, whole, part, low, high, bits: int) -> None:
-        start = part * low
-        code = code - start
-        new = np.where(high == np.uint64(1 << bits), whole - start, part * (high - low))
-        small = np.flatnonzero(new < 0x10000)
+    def _narrow(self, lanes: np.ndarray | None, code: np.ndarray, span: np.ndarray) -> None:
+        small = np.flatnonzero(span < _LEAST_RANGE)
         if len(small):
             own = small if lanes is None else lanes[small]
             at = np.minimum(self.used[own], self.width - 1)
-            code[small] = code[small] << np.uint64(16) | self.flat[own * self.width + at]
+            code[small] = code[small] << _HALF | self.flat[own * self.width + at]
             self.used[own] += 1
-            new[small] <<= np.uint64(16)
+            span[small] <<= _HALF
         if lanes is None:
-            self.code, self.range = code, new
+            self.code, self.range = code, span
         else:
-            self.code[lanes], self.range[lanes] = code, new
+            self.code[lanes], self.range[lanes] = code, span
 
+    def decide(self, lanes: np.ndarray | None, chance: np.ndarray) -> np.ndarray:
+        code, span = (self.code, self.range) if lanes is None else (self.code[lanes], self.range[lanes])
+        start = (span >> _BIT) * chance
+        hit = code < start
+        self._narrow(lanes, code - np.where(hit, _ZERO, start), np.where(hit, start, span - start))
+        return hit
 
-_ZERO, _ALL12 = np.uint64(0), np.uint64(1 << 12)
+    def literal(self, lanes: np.ndarray, model: _Model) -> tuple[np.ndarray, np.ndarray]:
+        code, part = self.code[lanes], self.range[lanes] >> _LITERAL
+        slot = np.minimum(code // np.maximum(part, np.uint64(1)), np.uint64((1 << (TOTAL + 8)) - 1)).astype(np.int64)
+        low, high = slot >> TOTAL, model.symbols()[(lanes << TOTAL) + (slot & ((1 << TOTAL) - 1))].astype(np.int64)
+        at = model.base_high[lanes] + high
+        place = (low << TOTAL).astype(np.uint64) + model.cum[at]
+        self._narrow(lanes, code - part * place, part * model.freq[at])
+        return high, low
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """(blocks, length) ids -> the bytes of each block."""
     n, length = ids.shape
     columns = np.ascontiguousarray(ids.T.astype(np.int32))
-    model, out = _Model(n), _Writer(n, 2 * length + 4)
+    model, out = _Model(n), _Writer(n, length + 8)
     for t in range(length):
         if t in REFRESH:
             model.refresh()
         own = columns[t]
         model.predict()
         x, y, p = model.chance2()
-        p = p.astype(np.uint64)
         hit2 = own == model.p2
-        out.put(None, np.where(hit2, _ZERO, p), np.where(hit2, p, _ALL12), 12)
+        out.decide(None, p.astype(np.uint64), hit2)
         goal = _goal(hit2)
         model.learn(model.x2, model.ix, x, goal, 4)
         model.learn(model.y2, model.iy2, y, goal, 5)
         rest = np.flatnonzero(~hit2)
         if len(rest):
             ix, iy, x, y, p = model.chance1(rest)
-            p = p.astype(np.uint64)
             hit1 = own[rest] == model.p1[rest]
-            out.put(rest, np.where(hit1, _ZERO, p), np.where(hit1, p, _ALL12), 12)
+            out.decide(rest, p.astype(np.uint64), hit1)
             goal = _goal(hit1)
             model.learn(model.x1, ix, x, goal, 4)
             model.learn(model.y1, iy, y, goal, 5)
             rest = rest[~hit1]
             if len(rest):
-                high, low = own[rest] >> 8, (own[rest] & 255).astype(np.uint64)
+                high = own[rest] >> 8
                 at = model.base_high[rest] + high
-                out.put(rest, model.cum[at], model.cum[at] + model.freq[at], TOTAL)
-                out.put(rest, low, low + np.uint64(1), 8)
+                out.literal(rest, ((own[rest] & 255).astype(np.uint64) << np.uint64(TOTAL)) + model.cum[at], model.freq[at])
                 model.count(rest, high)
         model.update(own, hit2)
     return out.end()
@@ -227,10 +241,7 @@ def decode_blocks(blocks: list[bytes], length: int) -> np.ndarray:
             model.refresh()
         model.predict()
         x, y, p = model.chance2()
-        p = p.astype(np.uint64)
-        code, whole, part, _ = source.where(None, 12)
-        hit2 = code < part * p
-        source.take(None, code, whole, part, np.where(hit2, _ZERO, p), np.where(hit2, p, _ALL12), 12)
+        hit2 = source.decide(None, p.astype(np.uint64))
         goal = _goal(hit2)
         model.learn(model.x2, model.ix, x, goal, 4)
         model.learn(model.y2, model.iy2, y, goal, 5)
@@ -238,31 +249,25 @@ def decode_blocks(blocks: list[bytes], length: int) -> np.ndarray:
         rest = np.flatnonzero(~hit2)
         if len(rest):
             ix, iy, x, y, p = model.chance1(rest)
-            p = p.astype(np.uint64)
-            code, whole, part, _ = source.where(rest, 12)
-            hit1 = code < part * p
-            source.take(rest, code, whole, part, np.where(hit1, _ZERO, p), np.where(hit1, p, _ALL12), 12)
+            hit1 = source.decide(rest, p.astype(np.uint64))
             goal = _goal(hit1)
             model.learn(model.x1, ix, x, goal, 4)
             model.learn(model.y1, iy, y, goal, 5)
             own[rest] = model.p1[rest]
             rest = rest[~hit1]
             if len(rest):
-                code, whole, part, _ = source.where(rest, TOTAL)
-                slot = np.minimum(code // part, np.uint64((1 << TOTAL) - 1)).astype(np.int64)
-                high = model.symbols()[(rest << TOTAL) + slot].astype(np.int64)
-                at = model.base_high[rest] + high
-                source.take(rest, code, whole, part, model.cum[at], model.cum[at] + model.freq[at], TOTAL)
-                code, whole, part, _ = source.where(rest, 8)
-                low = np.minimum(code // part, np.uint64(255))
-                source.take(rest, code, whole, part, low, low + np.uint64(1), 8)
-                own[rest] = (high << 8 | low.astype(np.int64)).astype(np.int32)
+                high, low = source.literal(rest, model)
+                own[rest] = (high << 8 | low).astype(np.int32)
                 model.count(rest, high)
         columns[t] = own
         model.update(own, hit2)
     return columns.T
 
 
+def _check(ids: np.ndarray, block: bytes) -> int:
+    return zlib.crc32(block, zlib.crc32(ids.astype("<u4").tobytes()))
+
+
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One segment; ``ids`` are those of all documents in order, each below 65,536."""
     if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= MOST_ID):
@@ -271,7 +276,7 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
     padded = np.zeros((n, BLOCK), np.int32)
     padded.reshape(-1)[: len(ids)] = ids
     blocks = encode_blocks(padded) if n else []
-    crcs = [zlib.crc32(row.astype("<u4").tobytes()) for row in padded]
+    crcs = [_check(row, b) for row, b in zip(padded, blocks)]
     head = _HEAD.pack(MAGIC, VERSION, BLOCK, len(doc_ids), len(ids), n)
     return b"".join([
         head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), np.asarray(lengths, "<i8").tobytes(),
@@ -299,6 +304,6 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     blocks = [data[int(e) - int(s) : int(e)] for s, e in zip(table[:, 0], ends)]
     out = decode_blocks(blocks, block) if n else np.zeros((0, block), np.int32)
     for k, row in enumerate(out):
-        if zlib.crc32(row.astype("<u4").tobytes()) != int(table[k, 1]):
+        if _check(row, blocks[k]) != int(table[k, 1]):
             raise CorruptBlock(f"block {k} fails its checksum")
     return [None if z else d for d, z in zip(ids, null)], lengths, out.reshape(-1)[:total]

@@ -31,7 +31,7 @@ from quirefold.llm.bpe import Splitter
 from quirefold.llm.rangecoder import pack, unpack
 from quirefold.llm.scratch import Scratch
 
-SEGMENT, PIECES = 1 << 22, 250_000
+SEGMENT, PIECES = 1 << 22, 500_000
 CHUNK = 1 << 21
 _workers: dict[str, _Tokenizer] = {}
 
