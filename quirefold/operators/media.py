@@ -81,23 +81,27 @@ def nearby(items: DataFrame, tolerance: float) -> DataFrame:
     return close.select(*PAGE, F.least("idx_a", "idx_b").alias("idx_a"), F.greatest("idx_a", "idx_b").alias("idx_b"))
 
 
-def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Smallest member of each edge's tree; the rows of a page stand together, and a page may span batches."""
+def _solved(pages: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+    """Smallest member of each edge's tree, for whole pages; ``group`` numbers the pages of the rows."""
+    ends = np.concatenate([np.stack([group, pages[c].to_numpy()], axis=1) for c in ("idx_a", "idx_b")])
+    nodes, place = np.unique(ends, axis=0, return_inverse=True)  # in order of page and idx
+    low, place = list(range(len(nodes))), place.ravel().tolist()
 
-    def solved(page: pd.DataFrame) -> pd.DataFrame:
-        low = dict.fromkeys(np.unique(page[["idx_a", "idx_b"]].to_numpy()).tolist())
-        low = {k: k for k in low}
+    def find(k: int) -> int:
+        while low[k] != k:
+            low[k] = k = low[low[k]]
+        return k
 
-        def find(k):
-            while low[k] != k:
-                low[k] = k = low[low[k]]
-            return k
+    for a, b in zip(place[: len(pages)], place[len(pages) :]):
+        a, b = find(a), find(b)
+        low[max(a, b)] = min(a, b)
+    root = np.array([find(k) for k in range(len(nodes))])
+    first = np.searchsorted(group, nodes[:, 0])
+    return pd.DataFrame({"doc_id": pages["doc_id"].to_numpy()[first], "page_num": pages["page_num"].to_numpy()[first], "idx": nodes[:, 1], "component": nodes[root, 1]})
 
-        for a, b in zip(page["idx_a"].tolist(), page["idx_b"].tolist()):
-            a, b = find(a), find(b)
-            low[max(a, b)] = min(a, b)
-        return pd.DataFrame({"doc_id": page["doc_id"].iloc[0], "page_num": page["page_num"].iloc[0], "idx": list(low), "component": [find(k) for k in low]})
 
+def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a page stand together, and a page may span batches: the last one of a batch waits for the next."""
     held: pd.DataFrame | None = None
     for batch in batches:
         if held is not None:
@@ -105,12 +109,12 @@ def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(batch):
             continue
         change = (batch["doc_id"].ne(batch["doc_id"].shift()) | batch["page_num"].ne(batch["page_num"].shift())).to_numpy()
-        starts = np.flatnonzero(change)
-        for a, b in zip(starts[:-1], starts[1:]):
-            yield solved(batch.iloc[a:b])
-        held = batch.iloc[starts[-1] :].reset_index(drop=True)
+        last = int(np.flatnonzero(change)[-1])
+        if last:
+            yield _solved(batch.iloc[:last], np.cumsum(change[:last]))
+        held = batch.iloc[last:].reset_index(drop=True)
     if held is not None and len(held):
-        yield solved(held)
+        yield _solved(held, np.ones(len(held), dtype=np.int64))
 
 
 def clusters(items: DataFrame, tolerance: float) -> DataFrame:
