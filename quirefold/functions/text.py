@@ -117,7 +117,3 @@ def remaining_seconds(done: Column, total: Column, elapsed: Column) -> Column:
     """Expected seconds to go at the pace so far; null while nothing is done."""
     return F.when((done > 0) & (elapsed > 0), (total - done) / (done / elapsed))
 
-
-def pretty_json(value: Column, depth: int = 0) -> Column:
-    """A JSON string literal's or scalar's text as it stands in an indented document."""
-    return F.when(value.isNull(), "null").otherwise(F.to_json(F.array(value)).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2))

@@ -152,6 +152,25 @@ def test_page_text_order_and_sections(spark):
     assert off.startswith("Image extraction disabled")
 
 
+def test_sections_counters_and_summaries(spark):
+    cells = [["T", None], ["A", "B"], ["1", "2"]]
+    made = tables.section_text(tables.structured(spark.createDataFrame([("d", 2, 1, cells)], "doc_id string, page_num int, number int, cells array<array<string>>"))).first().section
+    assert made.startswith("\n\nTABLE 1 ON PAGE 2\n\nType: headline\nHas Header: True\nData Rows: 1\nHeadline: T\n```json\n{") and '"description":null' in made
+    parts = spark.createDataFrame([("d", 1, 2, 0), ("d", 1, 3, 0)], "doc_id string, page_num int, words int, skipped int")
+    assert tuple(assemble.page_counters(parts, "words", "skipped").first()) == ("d", 1, 5, None)
+    drawn = spark.createDataFrame([("d", 1, 1, [3, 4], True, "a.png", None), ("d", 1, 2, [5, 6], False, "b.png", "larger")], "doc_id string, page_num int, number int, resolution array<int>, saved boolean, filename string, skipped_reason string")
+    got = assemble.drawing_summary(drawn).first()
+    assert (got.drawing_count, got.drawings_saved, got.drawings_failed, [x["index"] for x in got.drawings_with_resolution]) == (2, 1, 1, [0, 1])
+    shares = spark.createDataFrame([(0.8765,)], "s double").select(media.conflict_reason(F.col("s"), "image")).first()[0]
+    assert shares == "Overlap with larger image (87.7% coverage)"
+    lines = spark.createDataFrame([(["c", "re"],), (["c"],), (None,)], "k array<string>")
+    assert [r.h for r in lines.select(tables.has_lines(F.col("k")).alias("h")).collect()] == [True, False, False]
+    top = spark.createDataFrame([("d", 1, k) for k in range(5)], "doc_id string, page_num int, idx int")
+    assert sorted(r.idx for r in media.first_per_page(top, "idx", 2).collect()) == [0, 1]
+    b = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],), ([1.0],)], "v array<double>").select(g.box_of(F.col("v")).area.alias("a")).collect()
+    assert [r.a for r in b] == [4.0, None]
+
+
 def test_media_folder_and_idempotent_injection(spark):
     text = 'Media Directory: pics\n```json\n{"a": 1, "images_with_resolution": [{"saved": "true", "filename": "f.png"}], "drawings_with_resolution": [{"saved": true, "filename": "g.png"}]}\n```\n'
     outputs = spark.createDataFrame([("/o/x.txt", text), ("/o/y.txt", "plain")], "path string, text string")
