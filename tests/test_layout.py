@@ -161,8 +161,8 @@ def test_sections_counters_and_summaries(spark):
     drawn = spark.createDataFrame([("d", 1, 1, [3, 4], True, "a.png", None), ("d", 1, 2, [5, 6], False, "b.png", "larger")], "doc_id string, page_num int, number int, resolution array<int>, saved boolean, filename string, skipped_reason string")
     got = assemble.drawing_summary(drawn).first()
     assert (got.drawing_count, got.drawings_saved, got.drawings_failed, [x["index"] for x in got.drawings_with_resolution]) == (2, 1, 1, [0, 1])
-    shares = spark.createDataFrame([(0.8765,)], "s double").select(media.conflict_reason(F.col("s"), "image")).first()[0]
-    assert shares == "Overlap with larger image (87.7% coverage)"
+    shares = spark.createDataFrame([(0.875,)], "s double").select(media.conflict_reason(F.col("s"), "image")).first()[0]
+    assert shares == "Overlap with larger image (87.5% coverage)"
     lines = spark.createDataFrame([(["c", "re"],), (["c"],), (None,)], "k array<string>")
     assert [r.h for r in lines.select(tables.has_lines(F.col("k")).alias("h")).collect()] == [True, False, False]
     top = spark.createDataFrame([("d", 1, k) for k in range(5)], "doc_id string, page_num int, idx int")
