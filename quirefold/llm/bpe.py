@@ -301,7 +301,8 @@ def _rank_file(spark: SparkSession, path: str):
 
 
 def _apply(docs: DataFrame, ranks_path: str, pattern: str, fields: list[tuple[str, pa.DataType, str]], make) -> DataFrame:
-    """``docs`` without ``text``, and new columns made by ``make(encoder, tokens, text)``."""
+    """``docs`` without ``text``, and new columns made by ``make(encoder, tokens, text)``; columns of their names are replaced."""
+    docs = docs.drop(*(name for name, _, _ in fields))
     shared, key = _rank_file(docs.sparkSession, ranks_path), (ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +325,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``coded(ids array<int>, ...)`` -> the other columns and ``text``; null ids count as empty."""
+    """``coded(ids array<int>, ...)`` -> the other columns and ``text``; null ids count as empty, a column ``text`` is replaced."""
+    coded = coded.drop("text")
     shared, key = _rank_file(coded.sparkSession, ranks_path), (ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -240,7 +240,11 @@ def _predicting(shared, keep_text: bool):
 
 
 def predict(docs: DataFrame, model: Model | None, keep_text: bool = False) -> DataFrame:
-    """``docs(text, ...)`` -> its other columns (``text`` too if asked for) with ``lang_pred`` and ``score`` (the mean position probability)."""
+    """``docs(text, ...)`` -> its other columns (``text`` too if asked for) with ``lang_pred`` and ``score`` (the mean position probability).
+
+    Columns of these two names are replaced.
+    """
+    docs = docs.drop("lang_pred", "score")
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != "text")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs(text, ...)`` -> its other columns, ``score`` and ``predicted``."""
+    """``docs(text, ...)`` -> its other columns, ``score`` and ``predicted``; columns of these two names are replaced."""
+    docs = docs.drop("score", "predicted")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

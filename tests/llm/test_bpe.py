@@ -69,6 +69,6 @@ def test_round_trip_over_rows(spark, reference):
         ids = reference.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
-    coded = bpe.encode(df.drop("ids"), PATH, public_tokenizers.PATTERN)
+    coded = bpe.encode(df, PATH, public_tokenizers.PATTERN)
     assert {(r.doc_id, r.text) for r in bpe.decode(coded, PATH, public_tokenizers.PATTERN).collect()} == {(i, t or "") for i, t in rows}
     assert bpe.round_trip(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0

@@ -20,7 +20,8 @@ def test_held_out_accuracy_and_edges(spark):
     docs = spark.createDataFrame([(i, t, "x", "y", 9) for i, t, _ in rows] + [(800, None, "", "", 1), (801, "", "", "", 1), (802, "ab! " * 60_000, "", "", 0), (5, rows[5][1], "", "", 1)], DOCS)
     labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows[:200]] + [(None, 1, 0), (3, None, 0), (9999, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)
-    got = quality.score(docs.select("doc_id", "text"), model).collect()
+    got = quality.score(docs, model).collect()
+    assert quality.score(docs, model).columns == ["doc_id", "quality", "score", "predicted"]
     assert len(got) == 304
     found = {r.doc_id: r for r in got}
     assert sum(found[i].predicted == q for i, _, q in rows[200:]) >= 95
