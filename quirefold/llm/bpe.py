@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from quirefold.llm.scratch import small_batches
+from quirefold.llm.workers import claim
 
 #: Characters on which Python's ``re`` and the pattern's Unicode classes agree; other texts take ``regex``.
 _PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞一-鿿]")
@@ -76,7 +77,7 @@ FEW = 20
 class Transducer:
     """Bytes of one piece to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000):
         self.ranks, self.most = ranks, most_states
         self.token = {r: t for t, r in ranks.items()}
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int, int]] | None] = {}
@@ -222,7 +223,7 @@ class Pieces(dict):
 class Encoder:
     """Whole texts to ids, with the results of up to ``most_pieces`` pieces kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 450_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 350_000):
         self.split, self.machine = Splitter(pattern), Transducer(ranks)
         self.known = Pieces(lambda piece: self.machine.encode(piece.encode("utf-8")), most_pieces)
 
@@ -278,19 +279,17 @@ def stream_decode(ids: Iterable[int], tokens: list[bytes], chunk: int = 1 << 14)
     yield stream.end()
 
 
-_encoders: dict[tuple[str, str], tuple[Encoder, list[bytes]]] = {}
-
-
 def _encoder(data: bytes, key: tuple[str, str]) -> tuple[Encoder, list[bytes]]:
     """A worker's encoder; kept from task to task."""
-    if key not in _encoders:
-        _encoders.clear()
+    kept = claim("bpe")
+    if key not in kept:
+        kept.clear()
         ranks = read_ranks(data)
         tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             tokens[r] = t
-        _encoders[key] = (Encoder(ranks, key[1]), tokens)
-    return _encoders[key]
+        kept[key] = (Encoder(ranks, key[1]), tokens)
+    return kept[key]
 
 
 def _rank_file(spark: SparkSession, path: str):

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quirefold.llm.scratch import Scratch
 from quirefold.llm.shingles import U, Words, byte_table, mix, slices, text_buffers
+from quirefold.llm.workers import claim
 
 MASKS = ("11101011", "110110011", "1101001011", "111001101")
 LEAST, ENOUGH, RADIUS = 5, 13, 48
@@ -88,6 +89,7 @@ def _scanning(shared, bits: int, masks: list[str]):
     schema = pa.schema([("doc_id", pa.int64()), ("run", pa.int64()), ("first", pa.int64()), ("words", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("at", pa.int32()), ("seed", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         filled = np.frombuffer(shared.value, dtype=np.uint64)
 
         def passes(seed: np.ndarray) -> np.ndarray:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quirefold.llm.scratch import small_batches
 from quirefold.llm.shingles import slices, text_buffers
+from quirefold.llm.workers import claim
 
 WINDOW, HIDDEN = 64, 8
 WINDOWS_A_TEXT, PER_LANGUAGE, MOST_LANGUAGES = 6, 400, 200
@@ -216,6 +217,7 @@ def _predicting(shared, keep_text: bool):
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         model: Model | None = shared.value
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quirefold.llm.components import connected_components
 from quirefold.llm.scratch import Scratch
 from quirefold.llm.shingles import NOT_SPACE, U, Words, mix, shingle_sets, slices, text_buffers
+from quirefold.llm.workers import claim
 
 BANDS, ROWS = 28, 6
 WIDTH = BANDS * ROWS
@@ -93,6 +94,7 @@ def _signing(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for batch in batches:
             for a, b, sets in _row_sets(batch, k):
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -108,6 +110,7 @@ def _setting(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for batch in batches:
             for a, b, sets in _row_sets(batch, k):
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)

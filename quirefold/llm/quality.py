@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quirefold.llm.scratch import small_batches
 from quirefold.llm.shingles import CHUNK, NOT_SPACE, Words, slices, text_buffers
+from quirefold.llm.workers import claim
 
 #: At most so many labelled rows are fitted on, and so many pairs of them.
 SAMPLE, PAIRS = 6_000, 60_000
@@ -129,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     columns = len(features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for a, b in slices(offsets, 1 << 19):

@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, functions as F
 from quirefold.llm.bpe import Splitter
 from quirefold.llm.rangecoder import pack, unpack
 from quirefold.llm.scratch import Scratch
+from quirefold.llm.workers import claim
 
 SEGMENT, PIECES = 1 << 22, 500_000
 CHUNK = 1 << 21
-_workers: dict[str, _Tokenizer] = {}
 
 
 class _Tokenizer:
@@ -59,9 +59,10 @@ class _Tokenizer:
 
 
 def _worker(data: str, pattern: str) -> _Tokenizer:
-    if pattern not in _workers:
-        _workers[pattern] = _Tokenizer(data, pattern)
-    return _workers[pattern]
+    kept = claim("tokenfiles")
+    if pattern not in kept:
+        kept[pattern] = _Tokenizer(data, pattern)
+    return kept[pattern]
 
 
 def _writing(shared, pattern: str, end_id: int):
