@@ -70,6 +70,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+#: So many pieces and states are kept by default: about 350 MB of a worker's memory at most.
+PIECES, STATES = 350_000, 100_000
 #: Up to so many tokens below a trie node are tried at once.
 FEW = 20
 
@@ -77,7 +79,7 @@ FEW = 20
 class Transducer:
     """Bytes of one piece to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = STATES):
         self.ranks, self.most = ranks, most_states
         self.token = {r: t for t, r in ranks.items()}
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int, int]] | None] = {}
@@ -136,7 +138,7 @@ class Transducer:
         key = before << 20 | token
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 250_000:
+            if len(self.pairs) > 3 * self.most:
                 self.pairs.clear()
             left, right = [("", -1, 0)] if before < 0 else self.edge(before, True), self.edge(token, False)
             found = left is not None and right is not None
@@ -223,8 +225,8 @@ class Pieces(dict):
 class Encoder:
     """Whole texts to ids, with the results of up to ``most_pieces`` pieces kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 350_000):
-        self.split, self.machine = Splitter(pattern), Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = PIECES, most_states: int = STATES):
+        self.split, self.machine = Splitter(pattern), Transducer(ranks, most_states)
         self.known = Pieces(lambda piece: self.machine.encode(piece.encode("utf-8")), most_pieces)
 
     def encode(self, text: str) -> list[int]:
@@ -279,16 +281,16 @@ def stream_decode(ids: Iterable[int], tokens: list[bytes], chunk: int = 1 << 14)
     yield stream.end()
 
 
-def _encoder(data: bytes, key: tuple[str, str]) -> tuple[Encoder, list[bytes]]:
+def _encoder(data: bytes, key: tuple[str, str], pieces: int = PIECES) -> tuple[Encoder, list[bytes]]:
     """A worker's encoder; kept from task to task."""
-    kept = claim("bpe")
+    kept, key = claim("bpe"), (*key, pieces)
     if key not in kept:
         kept.clear()
         ranks = read_ranks(data)
         tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             tokens[r] = t
-        kept[key] = (Encoder(ranks, key[1]), tokens)
+        kept[key] = (Encoder(ranks, key[1], pieces, max(1_000, pieces * 2 // 7)), tokens)
     return kept[key]
 
 
@@ -299,13 +301,13 @@ def _rank_file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _apply(docs: DataFrame, ranks_path: str, pattern: str, fields: list[tuple[str, pa.DataType, str]], make) -> DataFrame:
+def _apply(docs: DataFrame, ranks_path: str, pattern: str, fields: list[tuple[str, pa.DataType, str]], make, pieces: int = PIECES) -> DataFrame:
     """``docs`` without ``text``, and new columns made by ``make(encoder, tokens, text)``; columns of their names are replaced."""
     docs = docs.drop(*(name for name, _, _ in fields))
     shared, key = _rank_file(docs.sparkSession, ranks_path), (ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = _encoder(shared.value, key)
+        encoder, tokens = _encoder(shared.value, key, pieces)
         for batch in batches:
             keep = [i for i, f in enumerate(batch.schema) if f.name != "text"]
             text = batch.column(batch.schema.get_field_index("text"))
@@ -318,9 +320,9 @@ def _apply(docs: DataFrame, ranks_path: str, pattern: str, fields: list[tuple[st
     return docs.mapInArrow(run, ", ".join([*kept, *(f"{n} {s}" for n, _, s in fields)]))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``docs(text, ...)`` -> the other columns and ``ids array<int>``."""
-    return _apply(docs, ranks_path, pattern, [("ids", pa.list_(pa.int32()), "array<int>")], lambda e, tokens, text: (e.encode(text),))
+def encode(docs: DataFrame, ranks_path: str, pattern: str, pieces: int = PIECES) -> DataFrame:
+    """``docs(text, ...)`` -> the other columns and ``ids array<int>``; fewer ``pieces`` kept take less memory and more time."""
+    return _apply(docs, ranks_path, pattern, [("ids", pa.list_(pa.int32()), "array<int>")], lambda e, tokens, text: (e.encode(text),), pieces)
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
