@@ -12,19 +12,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quirefold.llm import bpe, decontaminate, language, minhash, secrets
 from quirefold.llm.scratch import Scratch
 
-#: A text whose best language has less than this mean probability over its positions is rejected, as is one without letters.
-LEAST_LANGUAGE_SCORE = 0.25
-
 #: The last stage runs in executors whose heaps the others have filled, so it keeps fewer encoded pieces than op 6 does.
 KEPT_PIECES = 80_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no language that the labelled rows teach."""
+    """Drops texts without a letter and texts foreign to all languages that the labelled rows teach (``language.Pairs``)."""
     names = docs.columns
     inner = docs.toDF(*(n if n == "text" else f"__{i}" for i, n in enumerate(names)))  # no column clashes with the predictions
-    judged = language.predict(inner, language.fit(docs), keep_text=True)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*inner.columns).toDF(*names)
+    judged = language.predict(inner, language.fit(docs), keep_text=True, open_set=True)
+    return judged.where(F.col("lang_pred") != "und").select(*inner.columns).toDF(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
