@@ -1,6 +1,8 @@
 """Secret scan in DataFrame functions only: candidate runs, and a random forest that drops false positives.
 
-Candidates are runs of token characters of at least ``SHORTEST``, cut at anything else.  Each has features:
+Candidates are runs of token characters of at least ``SHORTEST``, cut at anything else; of a run ``name=value``
+only the value is one, if it is as long as that.  Neighbours are the characters of the text around it, whatever
+other candidates they belong to, in training as in scoring.  Each candidate has features:
 length, shares of digits, upper case and distinct characters, changes of character class from one character
 to the next, the share covered by dictionary syllables and words, assignment and quoting around it,
 telling words before it, and a telling path (``source``).  The forest is trained in numpy from labelled
@@ -26,6 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SHORTEST = 12
 CANDIDATE = r"[A-Za-z0-9+/_\-=.~]{%d,}+" % SHORTEST
+#: A run of a name, one or more '=' and a value; '=' at a value's end is padding.
+NAMED = r"^(.*=)([^=]{%d,}=*)$" % SHORTEST
 MASK = "[SECRET]"
 TREES, DEPTH, LEAST_LEAF = 21, 6, 3
 #: At most so many labelled findings are fitted on.
@@ -101,6 +105,11 @@ def labelled_findings(n: int = 2_400, seed: int = 11) -> list[tuple[str, str, st
     return out
 
 
+def _name(run: Column) -> Column:
+    """What stands before a run's value, with its '='; '' if nothing does."""
+    return F.regexp_extract(run, NAMED, 1)
+
+
 def _share(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
 
@@ -195,7 +204,10 @@ def train(findings: DataFrame, most: int = MOST_FINDINGS) -> list[Node]:
     """A forest from ``findings(candidate, before, after, path, secret)``; at most ``most`` rows are used, the smallest hashes."""
     names = ("candidate", "before", "after", "path")
     chosen = findings.where("candidate is not null and secret in (0, 1)").orderBy(F.xxhash64(*names), *names).limit(most)
-    made = features(*(F.coalesce(F.col(c), F.lit("")) for c in names))
+    candidate, before, after, path = (F.coalesce(F.col(c), F.lit("")) for c in names)
+    name = _name(candidate)
+    value = F.substring(candidate, F.length(name) + 1, F.length(candidate))
+    made = features(value, F.right(F.concat(before, name), F.lit(BEFORE)), F.left(after, F.lit(AFTER)), path)
     rows = chosen.select(F.col("secret").cast("int"), *(v.alias(k) for k, v in made.items())).collect()
     if not rows:
         raise ValueError("no labelled findings")
@@ -217,21 +229,28 @@ def found(docs: DataFrame, forest: Sequence[Node], least: float = 0.5) -> DataFr
 
 
 def _judged(docs: DataFrame, forest: Sequence[Node], least: float) -> DataFrame:
-    """``docs`` with ``__findings``, and ``__parts``: the texts between candidates, which give their neighbourhoods and places."""
+    """``docs`` with ``__findings``, and ``__parts``: the texts between candidates, which give their places."""
     text = F.coalesce(F.col("text"), F.lit(""))
     some = F.rlike(text, F.lit(CANDIDATE))
     parts = F.when(some, F.split(text, CANDIDATE, -1)).otherwise(F.array().cast("array<string>"))
     values = F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    cut = docs.withColumns({"__values": values, "__parts": parts, "__path": path})
+    cut = docs.withColumns({"__runs": values, "__between": parts, "__path": path})
+    cut = cut.withColumn("__names", F.transform("__runs", _name))
+    cut = cut.withColumns({
+        "__values": F.transform("__runs", lambda v, i: F.substring(v, F.length(F.get("__names", i)) + 1, F.length(v))),
+        "__parts": F.transform("__between", lambda p, i: F.concat(p, F.coalesce(F.get("__names", i), F.lit("")))),
+    })
     # Running ends of candidates: the sum of all parts and values up to each.
     lengths = F.transform("__values", lambda v, i: F.length(F.get("__parts", i)) + F.length(v))
     ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     cut = cut.withColumn("__ends", ends)
 
     def judged(v: Column, i: Column) -> Column:
-        before = F.right(F.get("__parts", i), F.lit(BEFORE))
-        after = F.left(F.get("__parts", i + 1), F.lit(AFTER))
+        # The text up to a candidate and after it, as far as it is looked at: a value has SHORTEST characters and a part between two has one.
+        behind = [F.right(F.coalesce(F.get(c, i - k), F.lit("")), F.lit(BEFORE)) for k in range(-(-BEFORE // (SHORTEST + 1)) - 1, 0, -1) for c in ("__parts", "__values")]
+        before = F.right(F.concat(*behind, F.get("__parts", i)), F.lit(BEFORE))
+        after = F.left(F.concat(F.get("__parts", i + 1), F.left(F.coalesce(F.get("__values", i + 1), F.lit("")), F.lit(AFTER))), F.lit(AFTER))
         return F.struct((F.get("__ends", i + 1) - F.length(v)).alias("start"), v.alias("value"), *(c.alias(k) for k, c in features(v, before, after, F.col("__path")).items()))
 
     cut = cut.withColumn("__made", F.transform("__values", judged))
@@ -241,7 +260,7 @@ def _judged(docs: DataFrame, forest: Sequence[Node], least: float) -> DataFrame:
         score = compiled(forest, [x[k] for k in names])
         return F.struct(x["start"].cast("long").alias("start"), x["value"].alias("value"), score.alias("score"), (score >= least).alias("secret"))
 
-    return cut.withColumn("__findings", F.transform("__made", scored)).drop("__values", "__path", "__ends", "__made")
+    return cut.withColumn("__findings", F.transform("__made", scored)).drop("__runs", "__between", "__names", "__values", "__path", "__ends", "__made")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
