@@ -3,9 +3,9 @@
 A seed is a fixed mask over consecutive words; words at its zeros may differ.  Hashes of all seeds of
 the benchmark go into a Bloom filter of bounded size, which one scan of the texts asks at every word.
 What passes is kept as runs: nearby hits with the words around them.  Hits then join the benchmark's
-seeds by hash; each (run, item, diagonal) is verified once: along the diagonal, the best stretch under
-+1 for an equal and -4 for a different word is found, and it counts if four fifths of its words are equal
-and it holds four fifths of ``ENOUGH`` words, or of the whole item where that is shorter.
+seeds by hash; each (run, item, diagonal) is verified once: it counts if four fifths of the words are equal in any
+window of ``ENOUGH`` words on the diagonal, or of the item's length where that is less.  Windows that count and
+touch make one stretch, without the different words at its ends; the one with most equal words is reported.
 
 Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters.  Only the filter
 is broadcast, and its size is bounded whatever the benchmark's is; a filter too full lets more through
@@ -34,6 +34,8 @@ LEAST, ENOUGH, RADIUS = 5, 13, 48
 LONGEST = max(map(len, MASKS))
 #: Bits of the filter: so many for each seed, between these powers of two.
 BITS_A_SEED, LEAST_BITS, MOST_BITS = 1024, 20, 27
+#: Cells of the filter (64 bits each) that are packed together.
+PAGE_BITS = 10
 CHUNK = 1 << 18
 WORD = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF), inside=True)
 
@@ -82,6 +84,17 @@ def _places(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (seed & U((1 << bits) - 1)).astype(np.int64), ((seed >> U(32)) & U((1 << bits) - 1)).astype(np.int64)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of the filter as bytes."""
+    for batch in batches:
+        pages = []
+        for cells, bits in zip(batch.column(1), batch.column(2)):
+            page = np.zeros(1 << PAGE_BITS, np.int64)
+            page[cells.values.to_numpy() & ((1 << PAGE_BITS) - 1)] = bits.values.to_numpy()
+            pages.append(page.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(pages, pa.binary())], names=["page", "data"])
+
+
 _RUNS = "doc_id long, run long, first long, words array<long>, hits array<struct<at:int,seed:long>>"
 
 
@@ -127,16 +140,17 @@ def _scanning(shared, bits: int, masks: list[str]):
     return run
 
 
-def stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Bounds of the best stretch under +1 for an equal and -4 for a different word; of equals the longest."""
-    best, low, high, total, start = 0, 0, 0, 0, 0
-    for i, e in enumerate(equal.tolist()):
-        total += 1 if e else -4
-        if total < 0:
-            total, start = 0, i + 1
-        elif total >= best:
-            best, low, high = total, start, i + 1
-    return low, high
+def stretch(equal: np.ndarray, size: int) -> tuple[int, int]:
+    """Bounds of the stretch with most equal words (of equals the first) that windows of ``size`` words, four fifths of them equal, cover; (0, 0) for none."""
+    total = np.concatenate([[0], np.cumsum(equal)])
+    good = np.flatnonzero(5 * (total[size:] - total[:-size]) >= 4 * size)
+    if not len(good):
+        return 0, 0
+    cut = np.flatnonzero(np.diff(good) > size)
+    low, high = good[np.concatenate([[0], cut + 1])], good[np.concatenate([cut, [len(good) - 1]])] + size
+    k = int((total[high] - total[low]).argmax())
+    inside = low[k] + np.flatnonzero(equal[low[k] : high[k]])
+    return int(inside[0]), int(inside[-1]) + 1
 
 
 def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,20 +161,20 @@ def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (x, y) in enumerate(zip(batch.column("words"), batch.column("item_words"))):
             x, y, d = x.values.to_numpy(), y.values.to_numpy(), diagonal[k]
             low, high = max(0, d), min(len(x), len(y) + d)
-            if high <= low:
+            size = min(ENOUGH, len(y))
+            if high - low < size:
                 continue
             equal = x[low:high] == y[low - d : high - d]
-            i, j = stretch(equal)
-            n = int(equal[i:j].sum())
-            if 5 * n >= 4 * min(ENOUGH, len(y)) and 5 * n >= 4 * (j - i):
-                out.append((doc[k], item[k], first[k] + low + i, j - i, n))
+            i, j = stretch(equal, size)
+            if j > i:
+                out.append((doc[k], item[k], first[k] + low + i, j - i, int(equal[i:j].sum())))
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(5)], schema=schema)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)`` -> ``(doc_id, item_id, start, n_words, n_equal)``.
 
-    One row for each document and item that overlap: the stretch with most equal words; ``start`` counts the
+    One row for each document and item that overlap: the stretch with most equal words (of equals the shortest, then the first); ``start`` counts the
     document's words from 0.
     """
     spark = docs.sparkSession
@@ -173,10 +187,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits = min(MOST_BITS, max(LEAST_BITS, (max(1, n) * BITS_A_SEED - 1).bit_length()))
     low = (1 << bits) - 1
     place = F.explode(F.array(F.col("seed").bitwiseAND(F.lit(low)), F.shiftrightunsigned("seed", 32).bitwiseAND(F.lit(low)))).alias("place")
-    cells = seeds.select(place).groupBy(F.shiftright("place", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).collect()  # at most 2^(bits - 6) rows
+    cells = seeds.select(place).groupBy(F.shiftright("place", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+    pages = cells.groupBy(F.shiftright("cell", PAGE_BITS).alias("page")).agg(F.collect_list("cell").alias("cells"), F.collect_list("bits").alias("bits"))
     filled = np.zeros(1 << (bits - 6), dtype=np.int64)
-    if cells:
-        filled[[r["cell"] for r in cells]] = [r["bits"] for r in cells]
+    for r in pages.mapInArrow(_packed, "page long, data binary").collect():  # at most 2^(bits - 6 - PAGE_BITS) rows: the filter's bytes, 16 MB at most
+        filled[r["page"] << PAGE_BITS : (r["page"] + 1) << PAGE_BITS] = np.frombuffer(bytes(r["data"]), np.int64)
     shared = spark.sparkContext.broadcast(filled.tobytes())
     runs = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanning(shared, bits, masks), _RUNS), "runs")
     hits = runs.select("doc_id", "run", F.explode("hits").alias("hit")).select("doc_id", "run", F.col("hit.at").alias("at"), F.col("hit.seed").alias("seed"))
