@@ -4,22 +4,23 @@ A text's bytes are cut into windows of ``WINDOW`` bytes, every byte in one of th
 each window in both directions, a softmax labels every position, and a document's probabilities are
 the means over its positions.  Training is backpropagation through time with Adam on windows of a
 bounded sample: at most ``per_language`` rows of each learned language (the smallest hashes of
-``doc_id``) and ``WINDOWS_A_TEXT`` windows of each.  Prediction covers every byte of every text.
+``doc_id``) and ``WINDOWS_A_TEXT`` windows of each; a text shorter than a window is one of its own length, and
+nothing is read or learned beyond its end.  Prediction covers every byte of every text.
 
 A softmax over learned languages says nothing about others, so ``fit`` also measures what it would take
 for foreign: the mean log-probability of a text's letter pairs under its predicted language, with a bound
 between held-out rows of that language and what stands for foreign text: rows of the other languages and
 rows in random order.  At least 99 of 100 held-out windows lie above the bound.
 
-Defined cases: a null text or one without a letter gives ``und`` with score 0; with no training rows
-at all every text gives ``und``; rows that repeat are judged alike; an empty table gives an empty
+Defined cases: a null text or one without a letter gives ``und`` with score 0 and trains nothing; with no
+training rows at all every text gives ``und``; any labelled text with a letter trains, however short; rows that repeat are judged alike; an empty table gives an empty
 result; ``lang``, ``source`` and ``doc_id`` are never inputs of a prediction; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -128,8 +129,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], steps: int = STEPS, seed: int = 7) -> Model:
-    """``windows`` (N, WINDOW) bytes with a label each -> the model after ``steps`` Adam steps."""
+def _turned(lengths: np.ndarray, t_len: int) -> np.ndarray:
+    """(T, N) places that turn the first ``lengths`` bytes of each window about and leave the rest; its own inverse."""
+    t = np.arange(t_len)[:, None]
+    return np.where(t < lengths, lengths - 1 - t, t)
+
+
+def train(windows: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], steps: int = STEPS, seed: int = 7, lengths: np.ndarray | None = None) -> Model:
+    """``windows`` (N, WINDOW) bytes with a label each -> the model after ``steps`` Adam steps; only the first ``lengths`` bytes of a window count."""
+    lengths = np.full(len(windows), windows.shape[1]) if lengths is None else lengths
     r = np.random.Generator(np.random.PCG64(seed))
     hid, k = HIDDEN, len(languages)
     parts = [r.normal(0, 0.3, (256, 3 * hid)), r.normal(0, 0.3, (256, 3 * hid)), r.normal(0, 0.25, (hid, 3 * hid)), r.normal(0, 0.25, (hid, 3 * hid)), r.normal(0, 0.3, (2 * hid, k)), np.zeros(k)]
@@ -138,18 +146,20 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], s
     members = [np.flatnonzero(labels == i) for i in range(k)]
     for step in range(1, steps + 1):
         at = np.concatenate([r.choice(m, size=max(1, BATCH // k)) for m in members])
-        x, y = np.ascontiguousarray(windows[at].T), labels[at]
-        back = np.ascontiguousarray(x[::-1])
+        x, y, turn = np.ascontiguousarray(windows[at].T), labels[at], _turned(lengths[at], windows.shape[1])
+        back = np.take_along_axis(x, turn, axis=0)
         kf, kb = [], []
-        both = np.concatenate([_gru(x, parts[0], parts[2], kf), _gru(back, parts[1], parts[3], kb)[::-1]], axis=2)
+        turn = turn[:, :, None]
+        both = np.concatenate([_gru(x, parts[0], parts[2], kf), np.take_along_axis(_gru(back, parts[1], parts[3], kb), turn, axis=0)], axis=2)
         p = _softmax(both @ parts[4] + parts[5])
         p[:, np.arange(len(y)), y] -= 1
-        p /= p.shape[0] * p.shape[1]
+        inside = np.arange(p.shape[0])[:, None] < lengths[at]
+        p *= (inside / inside.sum()).astype(np.float32)[:, :, None]
         flat = both.reshape(-1, 2 * hid)
         g_out, g_bias = flat.T @ p.reshape(-1, k), p.reshape(-1, k).sum(axis=0)
         d = p @ parts[4].T
         gw0, gu0 = _gru_back(x, parts[0], parts[2], kf, d[:, :, :hid])
-        gw1, gu1 = _gru_back(back, parts[1], parts[3], kb, d[::-1, :, hid:])
+        gw1, gu1 = _gru_back(back, parts[1], parts[3], kb, np.take_along_axis(d[:, :, hid:], turn, axis=0))
         grads = [gw0, gw1, gu0, gu1, g_out, g_bias]
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = RATE * min(1.0, 2.0 * (1 - (step - 1) / steps))
@@ -230,7 +240,7 @@ def _log_table(windows: list[np.ndarray]) -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32).reshape(-1)
 
 
-def fit_pairs(windows: np.ndarray, labels: np.ndarray, owners: np.ndarray, k: int, seed: int = 7) -> Pairs:
+def fit_pairs(windows: Sequence[np.ndarray], labels: np.ndarray, owners: np.ndarray, k: int, seed: int = 7) -> Pairs:
     """Tables of all windows; bounds from tables of every other text's windows on those of the texts between."""
     r = np.random.Generator(np.random.PCG64(seed))
     lowered = [_lowered(w) for w in windows]
@@ -263,34 +273,34 @@ def _has_letter(text: str) -> bool:
     return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
 
 
-def _sample(docs: DataFrame, per_language: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[str, ...]]:
+def _sample(docs: DataFrame, per_language: int, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, tuple[str, ...]]:
     """Training windows of a bounded sample: the smallest hashes of each language; their labels, and numbers of their texts.
 
     Ids are ranked without their texts, and of a large language only about twice as many ids as are wanted.
     """
-    counts = docs.where("lang is not null").groupBy("lang").count().orderBy("lang").limit(most + 1).collect()
+    usable = docs.where("lang is not null and text is not null").where(F.rlike("text", F.lit(r"\p{L}")))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).orderBy("lang").limit(most + 1).collect()
     if len(counts) > most:
         raise ValueError(f"more than {most} languages in the training rows")
     if not counts:
-        return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), ()
-    most_hash = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, (2.0 * per_language + 50) / r["count"]) * (1 << 40)))))
-    low = docs.where("lang is not null").select("lang", "doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= F.element_at(most_hash, F.col("lang")))
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64), ()
+    most_hash = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, (2.0 * per_language + 50) / max(1, r["ids"])) * (1 << 40)))))
+    low = usable.select("lang", "doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= F.element_at(most_hash, F.col("lang")))
     order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
     chosen = low.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"))
-    usable = docs.where("text is not null").join(F.broadcast(chosen), (F.col("lang") == F.col("__lang")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")  # at most per_language * most rows
-    usable = usable.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
-    size = F.octet_length("text")
-    raw = F.to_binary("text", F.lit("utf-8"))
-    at = [F.substring(raw, F.floor(size * (2 * i + 1) / (2 * WINDOWS_A_TEXT) - WINDOW / 2).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS_A_TEXT)]
-    rows = usable.select("lang", "doc_id", F.explode(F.array(*at)).alias("w")).where(F.octet_length("w") == WINDOW)
-    got = rows.select("lang", "w", "doc_id").collect()
+    picked = usable.join(F.broadcast(chosen), (F.col("lang") == F.col("__lang")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")  # at most per_language * most rows
+    picked = picked.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    size, raw = F.octet_length("text"), F.to_binary("text", F.lit("utf-8"))
+    middles = [F.floor(size * (2 * i + 1) / (2 * WINDOWS_A_TEXT) - WINDOW / 2).cast("int") for i in range(WINDOWS_A_TEXT)]
+    starts = F.array_distinct(F.array(*(F.greatest(F.lit(0), F.least(m, size - WINDOW)) for m in middles)))
+    rows = picked.select("lang", "doc_id", "text", F.explode(starts).alias("start")).select("lang", "doc_id", F.substring(raw, F.col("start") + 1, F.lit(WINDOW)).alias("w"))
+    got = rows.collect()
     got.sort(key=lambda r: (r.lang, r.doc_id is not None, r.doc_id or 0, bytes(r.w)))
     names = sorted({r.lang for r in got})
-    windows = np.frombuffer(b"".join(bytes(r.w) for r in got), dtype=np.uint8).reshape(-1, WINDOW)
     place = {name: i for i, name in enumerate(names)}
     texts = {key: i for i, key in enumerate(dict.fromkeys((r.lang, r.doc_id) for r in got))}
     owners = np.array([texts[r.lang, r.doc_id] for r in got], dtype=np.int64)
-    return windows, np.array([place[r.lang] for r in got], dtype=np.int64), owners, tuple(names)
+    return [np.frombuffer(bytes(r.w), np.uint8) for r in got], np.array([place[r.lang] for r in got], dtype=np.int64), owners, tuple(names)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
@@ -299,7 +309,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int =
     At most ``per_language`` rows of a language reach the driver, ``WINDOWS_A_TEXT`` windows of each.
     """
     windows, labels, owners, names = _sample(docs, per_language, most_languages)
-    return replace(train(windows, labels, names), pairs=fit_pairs(windows, labels, owners, len(names))) if len(windows) else None
+    if not windows:
+        return None
+    lengths = np.array([len(w) for w in windows])
+    filled = np.zeros((len(windows), WINDOW), np.uint8)
+    for row, w in zip(filled, windows):
+        row[: len(w)] = w
+    return replace(train(filled, labels, names, lengths=lengths), pairs=fit_pairs(windows, labels, owners, len(names)))
 
 
 def _predicting(shared, keep_text: bool, open_set: bool):

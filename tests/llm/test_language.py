@@ -60,3 +60,33 @@ def test_without_training_rows(spark):
     df = spark.createDataFrame([(1, "abc", None, "", "")], SCHEMA).select("doc_id", "text")
     assert lang.predict(df, None).first().lang_pred == "und"
     assert lang.predict(empty.select("doc_id", "text"), None).count() == 0
+
+
+def test_short_texts_train_their_language(spark):
+    """A language of texts of about 30 bytes beside one of long texts, and short texts alone; 'und' is for null and letterless texts only."""
+    r = np.random.default_rng(5)
+    short = [(i, words(r, "abcdeü", 6)[:30], "one") for i in range(120)]
+    long = [(200 + i, words(r, "stuvwé", 60), "two") for i in range(60)]
+    other = [(300 + i, words(r, "stuvwé", 6)[:30], "two") for i in range(120)]
+    for rows, fresh in ((short + long, 80), (short + other, 80)):
+        model = lang.fit(spark.createDataFrame([(*x, "", "") for x in rows], SCHEMA))
+        assert model.languages == ("one", "two")
+        test = [(900 + i, words(r, "abcdeü" if i % 2 else "stuvwé", 6)[:30], None, "", "") for i in range(fresh)] + [(2000, None, None, "", ""), (2001, "12 !", None, "", "")]
+        got = {x.doc_id: x.lang_pred for x in lang.predict(spark.createDataFrame(test, SCHEMA), model).collect()}
+        assert sum(got[900 + i] == ("one" if i % 2 else "two") for i in range(fresh)) >= 0.9 * fresh
+        assert {i for i, v in got.items() if v == "und"} == {2000, 2001}
+
+
+def test_padding_is_never_read_in_training():
+    r = np.random.default_rng(6)
+    windows, lengths = r.integers(97, 105, (40, lang.WINDOW)).astype(np.uint8), r.integers(5, 40, 40)
+    padded = windows.copy()
+    for row, n in zip(padded, lengths):
+        row[n:] = 7
+    one, two = (lang.train(w, np.arange(40) % 2, ("a", "b"), steps=3, lengths=lengths) for w in (windows, padded))
+    assert np.allclose(one.out, two.out) and all(np.allclose(a[97:105], b[97:105]) for a, b in zip(one.inputs, two.inputs))
+
+
+def test_repeated_rows_of_few_ids_keep_their_language(spark):
+    rows = [(k % 3, "abcde cab dec bade", "one", "", "") for k in range(3000)] + [(10 + k, "stuvw vut wuts", "two", "", "") for k in range(300)]
+    assert lang.fit(spark.createDataFrame(rows, SCHEMA), per_language=40).languages == ("one", "two")
