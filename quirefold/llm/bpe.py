@@ -8,8 +8,8 @@ made when it is first reached; where a trie node can only become a few tokens, t
 those that may follow in place of its last token, so that many histories share a state.  Each byte finishes exactly one hypothesis; tokens that all living
 hypotheses share are emitted.  As tokens have a greatest length, the lookahead is bounded.
 
-States and whole-piece results are kept up to a fixed number and then forgotten, which changes the
-time taken and nothing else.  Whole texts are split by the tokenizer's pattern, each match separately.
+States are kept up to a fixed number and then forgotten, and so are whole-piece results, those that are
+met often last; this changes the time taken and nothing else.  Whole texts are split by the tokenizer's pattern, each match separately.
 
 Decoding maps ids to bytes and cuts text at character ends by an incremental UTF-8 state machine;
 malformed bytes become U+FFFD as in Python's "replace".
@@ -207,16 +207,23 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Results of pieces by their text; a missing one is made, and all are forgotten when there are too many."""
+    """Results of pieces by their text; a missing one is made.
+
+    Two generations of ``most / 2`` each: when the young one is full, it takes the place of the old one, and a piece
+    of the old one that is met again is young once more; so what is met often stays, and the rest is forgotten.
+    """
 
     def __init__(self, make: Callable[[str], object], most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, max(1, most // 2), {}
 
     def __missing__(self, piece: str):
-        found = self.make(piece)
+        found = self.old.get(piece)
+        if found is None:
+            found = self.make(piece)
         if len(piece) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = found
         return found
@@ -290,7 +297,7 @@ def _encoder(data: bytes, key: tuple[str, str], pieces: int = PIECES) -> tuple[E
         tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             tokens[r] = t
-        kept[key] = (Encoder(ranks, key[1], pieces, max(1_000, pieces * 2 // 7)), tokens)
+        kept[key] = (Encoder(ranks, key[1], pieces), tokens)
     return kept[key]
 
 
