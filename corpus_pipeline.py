@@ -13,7 +13,7 @@ from quirefold.llm import bpe, decontaminate, language, minhash, secrets
 from quirefold.llm.scratch import Scratch
 
 #: The last stage runs in executors whose heaps the others have filled, so it keeps fewer encoded pieces than op 6 does.
-KEPT_PIECES = 80_000
+KEPT_PIECES = 120_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,18 +25,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five words, 0.8): the one with the smallest id."""
-    scratch = Scratch(spark, "near-dedup")
-    judged = scratch.save(minhash.near_duplicates(docs).select("doc_id", "kept"), "judged")
-    gone = judged.where("not kept").select("doc_id")
-    # Rows that repeat an id with the same text are copies too.
-    repeated = judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = scratch.save(repeated, "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    """Keeps one document of each group of near copies (five words, 0.8): the one with the smallest id.
+
+    Rows without an id and rows that share one are told apart by a hash of id and text, so that each is judged by its
+    own text; such rows rank behind those with an id of their own, and of equal id and text one stays.
+    """
+    scratch, names = Scratch(spark, "near-dedup"), docs.columns
+    inner = docs.toDF(*(n if n in ("doc_id", "text") else f"__{i}" for i, n in enumerate(names)))
+    repeated = scratch.save(inner.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id", F.lit(True).alias("__odd")), "repeated")
+    some = not repeated.isEmpty()
+    if some:
+        told = inner.join(repeated.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+        keyed = told.withColumn("__key", F.when(F.col("__odd"), F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))).otherwise(F.col("doc_id").cast("long")))
+        keyed = scratch.save(keyed, "keyed")
+    else:
+        keyed = inner.withColumn("__key", F.col("doc_id").cast("long"))
+    judged = scratch.save(minhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text")).select("doc_id", "kept"), "judged")
+    kept = keyed.join(judged.where("not kept").select(F.col("doc_id").alias("__key")), "__key", "left_anti")
+    if some:
+        kept = kept.where("__odd is null").unionByName(kept.where("__odd").dropDuplicates(["__key"]))
+    return kept.select(*inner.columns).toDF(*names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

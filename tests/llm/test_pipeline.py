@@ -45,3 +45,11 @@ def test_each_stage_handles_odd_rows(spark, sf_dir):
     assert cp.byte_bpe(spark, docs, sf_dir).count() == 9
     for name, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_repeated_and_null_ids_lose_only_copies(spark, sf_dir):
+    one, two = (" ".join(f"{w}{i}" for i in range(80)) for w in ("alpha", "beta"))
+    rows = [(1, one, "en", "a", 1, "x"), (2, one, "en", "a", 1, "x"), (2, two, "en", "b", 1, "x"), (2, two, "en", "b", 1, "x"), (None, two, "en", "c", 1, "x"), (None, "gamma delta", "en", "d", 1, "x"), (None, None, "en", "e", 1, "x"), (3, None, "en", "f", 1, "x")]
+    kept = [(r.doc_id, r.text) for r in cp.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()]
+    assert len(kept) == len(set(kept)) == 5
+    assert sum(t == one for _, t in kept) == 1 and sum(t == two for _, t in kept) == 1 and {(None, "gamma delta"), (None, None), (3, None)} <= set(kept)
