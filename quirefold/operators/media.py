@@ -201,4 +201,5 @@ def resolve_conflicts(images: DataFrame, drawings: DataFrame) -> tuple[DataFrame
 
 
 def conflict_reason(share: Column, other: str) -> Column:
-    return F.format_string(f"Overlap with larger {other} (%.1f%% coverage)", share * 100)
+    """The share with one decimal, ties to even."""
+    return F.format_string(f"Overlap with larger {other} (%.1f%% coverage)", F.bround(share * 100, 1))

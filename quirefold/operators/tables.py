@@ -132,12 +132,30 @@ def has_lines(items: Column) -> Column:
     return F.coalesce(F.exists(items, lambda k: k.isin("l", "re")), F.lit(False))
 
 
+def _quoted(c: Column) -> Column:
+    """A string as JSON; null as null."""
+    return _once(F.to_json(F.array(c)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
+
+
+def _indented(items: Column, depth: int, brackets: str = "[]") -> Column:
+    """JSON texts one a line, two spaces for each level; nothing between the brackets if there are none."""
+    pad = "\n" + "  " * (depth + 1)
+    return F.when(F.size(items) > 0, F.concat(F.lit(brackets[0] + pad), F.array_join(items, f",{pad}"), F.lit("\n" + "  " * depth + brackets[1]))).otherwise(brackets)
+
+
+def _record(cells: Column, depth: int) -> Column:
+    return _indented(F.transform(F.map_entries(cells), lambda e: F.concat(_quoted(e["key"]), F.lit(": "), _quoted(e["value"]))), depth, "{}")
+
+
 def section_text(structured_tables: DataFrame) -> DataFrame:
-    """``structured`` with ``section``: the summary lines and the JSON record of each table."""
-    record = F.to_json(F.struct(
-        F.col("number").alias("table_number"), F.col("page_num").alias("page_number"), "type", "headline", "description",
-        F.col("headers").alias("column_headers"), F.col("row_count").alias("data_rows_count"), F.col("standard_rows").alias("data_rows"), "corner_rows",
-    ), {"ignoreNullFields": "false"})
+    """``structured`` with ``section``: the summary lines and the JSON record of each table, eight keys, indented by two; a row under a label is an object in an object."""
+    labelled = F.transform("corner_rows", lambda x: _indented(F.array(F.concat(_quoted(x["label"]), F.lit(": "), _record(x["cells"], 3))), 2, "{}"))
+    rows = F.concat(F.transform("standard_rows", lambda m: _record(m, 2)), labelled)
+    fields = {
+        "table_number": F.col("number").cast("string"), "page_number": F.col("page_num").cast("string"), "type": _quoted(F.col("type")), "headline": _quoted(F.col("headline")),
+        "description": _quoted(F.col("description")), "column_headers": _indented(F.transform("headers", _quoted), 1), "data_rows_count": F.col("row_count").cast("string"), "data_rows": _indented(rows, 1),
+    }
+    record = _indented(F.array(*(F.concat(F.lit(f'"{k}": '), v) for k, v in fields.items())), 0, "{}")
     head = F.format_string("\n\nTABLE %d ON PAGE %d\n\nType: %s\nHas Header: %s\nData Rows: %d\n", "number", "page_num", "type", F.when(F.col("has_header"), "True").otherwise("False"), "row_count")
     line = F.when(F.coalesce("headline", F.lit("")) != "", F.format_string("Headline: %s\n", "headline")).otherwise("")
     return structured_tables.withColumn("section", F.concat(head, line, F.lit("```json\n"), record, F.lit("\n```\n\n")))

@@ -44,7 +44,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.lit(0).cast("long").alias("doc_id"), "page_num", F.col("item_idx").cast("long").alias("idx"), "x0", "y0", "x1", "y1", "kind", "l_partkey", "l_suppkey")
 
 
-BOXES = """boxes AS (
+BOXES = """boxes AS MATERIALIZED (
   SELECT page_num, idx, x0, y0, x0 + CASE WHEN l_partkey % 11 = 0 THEN 5 ELSE 40 + l_partkey % 5 * 12 END AS x1, y0 + CASE WHEN l_partkey % 11 = 0 THEN 4 ELSE 20 + l_suppkey % 4 * 30 END AS y1,
     idx % 5 AS kind, l_partkey, l_suppkey
   FROM (SELECT l_orderkey // 5 AS page_num, row_number() OVER (PARTITION BY l_orderkey // 5 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS idx,

@@ -78,7 +78,7 @@ def hyphen_fix(spark, sf_dir):
     return fx.hyphen_docs(spark, sf_dir).select("doc_id", t.count_hyphens(F.col("text")).alias("hyphens_fixed"), F.md5(t.fix_hyphens(F.col("text"))).alias("digest"))
 
 
-_CELL = "concat(' ', substr(coalesce(text, ''), 1, 40), chr(9), 'x-', chr(10), 'y', chr(1), chr(13), chr(10), '  z ')"
+_CELL = "concat(' ', coalesce(text, ''), chr(9), 'x-', chr(10), 'y', chr(1), chr(13), chr(10), '  z ')"
 
 
 @query(f"SELECT doc_id, [{_clean_sql(_fix_sql(_CELL))}, {_clean_sql(_fix_sql('lang'))}] AS cells, {_joins_sql(_CELL)} AS fixes FROM documents")
@@ -589,9 +589,9 @@ def rates(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").select("event_id", F.round(t.rate(n, s), 6).alias("rate"), F.round(t.remaining_seconds(n, F.lit(40.0), s), 6).alias("remaining"))
 
 
-@query(f"""SELECT doc_id, md5({_strip_sql("regexp_replace('# **' || substr(text, 1, 50) || '** ', '\\*\\*|#', '', 'g')".replace("\\\\", "\\"))}) AS answer, coalesce(nullif({_strip_sql("regexp_replace(regexp_replace('Start of ' || lang || CASE WHEN doc_id % 2 = 0 THEN ' weekend END' ELSE '' END, '(?i)\\b(start|end)\\b', '', 'g'), ' +', ' ', 'g')".replace("\\\\", "\\"))}, ''), 'No description available') AS sidecar FROM documents""")
+@query(f"""SELECT doc_id, md5({_strip_sql("regexp_replace('# **' || text || '** ', '\\*\\*|#', '', 'g')".replace("\\\\", "\\"))}) AS answer, coalesce(nullif({_strip_sql("regexp_replace(regexp_replace('Start of ' || lang || CASE WHEN doc_id % 2 = 0 THEN ' weekend END' ELSE '' END, '(?i)\\b(start|end)\\b', '', 'g'), ' +', ' ', 'g')".replace("\\\\", "\\"))}, ''), 'No description available') AS sidecar FROM documents""")
 def description_clean(spark, sf_dir):
-    answer = F.concat(F.lit("# **"), F.substring("text", 1, 50), F.lit("** "))
+    answer = F.concat(F.lit("# **"), "text", F.lit("** "))
     sidecar = F.concat(F.lit("Start of "), "lang", F.when(F.col("doc_id") % 2 == 0, " weekend END").otherwise(""))
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.md5(t.clean_description(answer)).alias("answer"), t.clean_sidecar(sidecar).alias("sidecar"))
 
@@ -608,3 +608,107 @@ def media_sections(spark, sf_dir):
     summary = assemble.image_summary(_judged(spark, sf_dir, LayoutConfig(min_size_px=30)))
     made = assemble.media_section(summary, fx.pages(spark, sf_dir), "image")
     return made.select("page_num", F.regexp_extract("section", r"^\n*([^\n]*)", 1).alias("head"))
+
+
+@query(f"""{_B}, wide AS (SELECT page_num, idx AS img_idx, CASE WHEN page_num % 7 = 0 THEN 0 ELSE x0 END AS x0, CASE WHEN page_num % 7 = 0 THEN 0 ELSE y0 END AS y0, CASE WHEN page_num % 7 = 0 THEN 551 ELSE x1 END AS x1, CASE WHEN page_num % 7 = 0 THEN 713 ELSE y1 END AS y1 FROM boxes WHERE kind = 1)
+SELECT page_num, img_idx, printf('full-page image (%.0fx%.0fpts vs page 612x792pts)', CAST(x1 - x0 AS DOUBLE), CAST(y1 - y0 AS DOUBLE)) AS reason FROM wide WHERE x1 - x0 >= 0.8::DOUBLE * 612 AND y1 - y0 >= 0.8::DOUBLE * 792""")
+def full_page_images(spark, sf_dir):
+    """The reasons of images that cover their page, which the boxes' own images never do."""
+    images = fx.images(spark, sf_dir)
+    for c, wide in (("x0", 0.0), ("y0", 0.0), ("x1", 551.0), ("y1", 713.0)):
+        images = images.withColumn(c, F.when(F.col("page_num") % 7 == 0, wide).otherwise(F.col(c)))
+    side = lambda a, b: g.pixels(F.col(b) - F.col(a))
+    images = images.withColumns({"px_width": side("x0", "x1"), "px_height": side("y0", "y1")})
+    judged = media.judge_images(images, fx.of_kind(spark, sf_dir, 2), fx.pages(spark, sf_dir), LayoutConfig(min_size_px=30))
+    return judged.where(F.startswith("reason", F.lit("full-page"))).select("page_num", "img_idx", "reason")
+
+
+@query(f"""{_B}, pairs AS (SELECT i.page_num, i.idx AS img, d.idx AS dr, {_sql_inter('i', 'd')} / nullif(least({_sql_area('i')}, {_sql_area('d')}), 0) AS share FROM boxes i JOIN boxes d ON i.page_num = d.page_num AND i.kind = 1 AND d.kind IN (3, 4)
+  AND {_sql_overlap('i', 'd')} AND {_sql_inter('i', 'd')} / nullif(least({_sql_area('i')}, {_sql_area('d')}), 0) > 0.8::DOUBLE AND {_sql_area('i')} < {_sql_area('d')})
+SELECT page_num, img, printf('Overlap with larger drawing (%.1f%% coverage)', arg_min(share, dr) * 100) AS reason FROM pairs GROUP BY page_num, img""")
+def conflict_reasons(spark, sf_dir):
+    images, _ = media.resolve_conflicts(fx.images(spark, sf_dir), _drawings(spark, sf_dir))
+    return images.where("lost_to is not null").select("page_num", F.col("img_idx").alias("img"), media.conflict_reason(F.col("share"), "drawing").alias("reason"))
+
+
+@query("""SELECT l_orderkey, l_suppkey % 5 AS page_num, '--- Page ' || (l_suppkey % 5) || ' ---' || chr(10) || chr(10) || string_agg(l_partkey || ';', '' ORDER BY l_linenumber % 4, l_quantity, l_partkey || ';') AS content
+FROM lineitem GROUP BY l_orderkey, l_suppkey % 5""")
+def page_sections(spark, sf_dir):
+    """Lines of orders as fragments of pages: tables, texts, images and drawings."""
+    kind = F.element_at(F.array(*map(F.lit, ("table", "text", "image", "drawing"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    lines = fx.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 5).alias("page_num"), kind.alias("kind"), F.col("l_quantity").alias("position"), F.concat(F.col("l_partkey").cast("string"), F.lit(";")).alias("section"))
+    return assemble.pages_of(lines).select(F.col("doc_id").alias("l_orderkey"), "page_num", "content")
+
+
+@query("""SELECT l_orderkey, l_linenumber, nullif(CAST(sum(l_partkey % 3) AS BIGINT), 0) AS images_saved, nullif(CAST(sum(l_suppkey % 2) AS BIGINT), 0) AS tables_skipped FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+def page_counter_sums(spark, sf_dir):
+    parts = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_num"), (F.col("l_partkey") % 3).alias("images_saved"), (F.col("l_suppkey") % 2).alias("tables_skipped"))
+    return assemble.page_counters(parts, "images_saved", "tables_skipped").withColumnsRenamed({"doc_id": "l_orderkey", "page_num": "l_linenumber"})
+
+
+_STATES = """['Ready', 'Done', 'Error', 'Scanning'][CAST(p_size % 4 + 1 AS INT)]"""
+
+
+def _states(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, ("Ready", "Done", "Error", "Scanning"))), (F.col("p_size") % 4 + 1).cast("int"))
+    return fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), status.alias("status"), F.nullif(F.col("p_partkey") % 9, F.lit(0)).alias("page_count"))
+
+
+@query(f"SELECT p_partkey AS path, {_STATES} AS status FROM part WHERE {_STATES} IN ('Ready', 'Done')")
+def eligible_files(spark, sf_dir):
+    return progress.eligible_files(_states(spark, sf_dir)).select("path", "status")
+
+
+@query("SELECT count(*) AS files, CAST(sum(nullif(p_partkey % 9, 0)) AS BIGINT) AS pages FROM part")
+def scan_totals(spark, sf_dir):
+    return progress.scan_totals(_states(spark, sf_dir))
+
+
+@query("SELECT l_orderkey, bool_or(l_linenumber % 5 IN (0, 1)) AS lines FROM lineitem GROUP BY l_orderkey")
+def pages_with_lines(spark, sf_dir):
+    """Whether the vector items of a page (an order's lines) can rule a table."""
+    kind = F.element_at(F.array(*map(F.lit, ("l", "re", "c", "qu", "x"))), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    pages = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(kind).alias("kinds"))
+    return pages.select("l_orderkey", tables.has_lines(F.col("kinds")).alias("lines"))
+
+
+@query("SELECT page_id, md5('data:image/jpeg;base64,' || base64(encode(html))) AS digest FROM pages")
+def data_uris(spark, sf_dir):
+    return fx.table(spark, sf_dir, "pages").select("page_id", F.md5(describe.data_uri(F.to_binary("html", F.lit("utf-8")))).alias("digest"))
+
+
+def _folder_inputs(spark, sf_dir):
+    """Texts of which every third names a media folder, and the folders that exist."""
+    ids = fx.table(spark, sf_dir, "documents").select("doc_id")
+    head = F.when(F.col("doc_id") % 3 == 0, F.format_string("PDF: d\nMedia Directory: m%d \nWord Count: 1\n", "doc_id")).otherwise("PDF: d\n")
+    outputs = ids.select("doc_id", F.format_string("/out/d%d.txt", "doc_id").alias("path"), head.alias("text"))
+    listing = ids.where("doc_id % 2 = 0").select(F.format_string("/out/m%d", "doc_id").alias("folder")).unionByName(ids.where("doc_id % 5 > 0").select(F.format_string("/out/d%d_media", "doc_id").alias("folder")))
+    return outputs, listing
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'm' || doc_id WHEN doc_id % 5 > 0 THEN 'd' || doc_id || '_media' END AS media FROM documents""")
+def media_folders(spark, sf_dir):
+    return enrich.folders(*_folder_inputs(spark, sf_dir)).select("doc_id", "media")
+
+
+@query("""SELECT doc_id, CASE WHEN s THEN 0 ELSE 2 END AS json_sections_processed, CASE WHEN s THEN 0 WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS first_pass_additions, 0 AS second_pass_updates,
+  CASE WHEN s THEN 0 ELSE CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END END AS files_not_found, CASE WHEN NOT s AND doc_id % 3 = 0 THEN 1 ELSE 0 END AS errors_occurred, CASE WHEN s THEN 1 ELSE 0 END AS skipped
+FROM (SELECT doc_id, doc_id % 5 = 0 AS s FROM documents)""")
+def folder_counters(spark, sf_dir):
+    """A folder of texts: media folders by stem, sidecars beside the texts only count, texts without a folder are skipped."""
+    outputs, (_, listing) = _outputs(spark, sf_dir).drop("media"), _folder_inputs(spark, sf_dir)
+    _, counters = enrich.process_folder(outputs.select("path", "text"), listing, _sidecars(spark, sf_dir))
+    return counters.join(outputs.select("path", "doc_id"), "path").drop("path")
+
+
+@query(f"""{_G}, {_SHAPED}, counted AS (SELECT *, CASE WHEN corner AND len(headers) > 0 THEN 1 ELSE 0 END AS shift, r[2:] AS body FROM g)
+SELECT page_num, 8 AS n_keys, headers, headline, description, CAST(len(list_filter(body, lambda row: (shift = 0 OR lower(coalesce(row[1], '')) NOT IN ('', 'null', 'none')) AND
+  len(list_filter(range(1, len(headers) + 1), lambda j: row[j + shift] IS NOT NULL AND lower(row[j + shift]) NOT IN ('', 'null', 'none'))) > 0)) AS BIGINT) AS n_rows FROM counted""")
+def table_sections(spark, sf_dir):
+    """What the JSON records of table sections say."""
+    made = tables.section_text(tables.structured(_grids(spark, sf_dir).withColumn("number", F.lit(1))))
+    record = F.regexp_extract("section", r"(?s)```json\n(.*)\n```", 1)
+    read = F.from_json(record, "table_number int, page_number long, type string, headline string, description string, column_headers array<string>, data_rows_count long, data_rows array<map<string,string>>")
+    return made.select("page_num", F.size(F.map_keys(F.from_json(record, "map<string,string>"))).alias("n_keys"), read.alias("x")).select(
+        "page_num", "n_keys", F.col("x.column_headers").alias("headers"), F.col("x.headline").alias("headline"), F.col("x.description").alias("description"), F.size("x.data_rows").cast("long").alias("n_rows"))

@@ -89,7 +89,8 @@ def _four(box) -> _FOUR:
 def scan_pages(files: DataFrame, columns: str, read: Callable[[object], list[tuple]], opener=_open) -> DataFrame:
     """``files(path, content, first_page, last_page)`` -> the rows that ``read(page)`` finds on each page.
 
-    A page that cannot be read is one row of nulls beside its number: errors are data, and other pages stay.
+    A page that cannot be read is one row of nulls beside its number, and a file that cannot be opened one such row
+    for its first page: errors are data, and other pages and files stay.
     """
     schema = _PAGE + columns + ", error string"
     names = [c.strip().split()[0] for c in schema.replace("array<array<string>>", "x").split(",")]
@@ -98,12 +99,16 @@ def scan_pages(files: DataFrame, columns: str, read: Callable[[object], list[tup
         for batch in batches:
             rows = []
             for path, content, first, last in zip(batch["path"], batch["content"], batch["first_page"], batch["last_page"]):
-                with opener(bytes(content)) as document:
-                    for n in range(int(first), int(last) + 1):
-                        try:
-                            rows += [(path, n, *found, None) for found in read(document[n - 1])]
-                        except Exception as e:
-                            rows.append((path, n, *[None] * (len(names) - 3), str(e)))
+                missing = [None] * (len(names) - 3)
+                try:
+                    with opener(bytes(content)) as document:
+                        for n in range(int(first), int(last) + 1):
+                            try:
+                                rows += [(path, n, *found, None) for found in read(document[n - 1])]
+                            except Exception as e:
+                                rows.append((path, n, *missing, str(e)))
+                except Exception as e:
+                    rows.append((path, int(first), *missing, str(e)))
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("path", "content", "first_page", "last_page").mapInPandas(run, schema)
@@ -184,10 +189,5 @@ def write_documents(docs: DataFrame, folder: str) -> None:
     Any file system that Spark reaches will do, and a lost task is written again; nothing in the folder is deleted
     but the documents written now.  Every file ends with a line's end, which is added where it is missing.
     """
-    session = docs.sparkSession
-    before = session.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        docs.select("filename", F.regexp_replace("text", r"\n\z", "").alias("value")).repartition("filename").write.mode("overwrite").partitionBy("filename").text(folder)
-    finally:
-        session.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    rows = docs.select("filename", F.regexp_replace("text", r"\n\z", "").alias("value")).repartition("filename")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filename").text(folder)

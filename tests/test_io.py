@@ -96,6 +96,8 @@ def test_page_scans_and_saving(spark):
         if row["idx"] == 2:
             raise OSError("disk full")
 
+    two = spark.createDataFrame([("p", b"broken", 1, 2), ("q", b"fine", 1, 1)], "path string, content binary, first_page int, last_page int")
+    assert [(r.doc_id, r.page_num, r.xref, r.error) for r in files.images_on_pages(two, fake_open).orderBy("doc_id").collect()] == [("p", 1, None, "cannot open"), ("q", 1, 9, None)]
     items = spark.createDataFrame([(1,), (2,)], "idx int")
     assert [(r.saved, r.save_error) for r in files.saved_media(items, render).orderBy("idx").collect()] == [(True, None), (False, "disk full")]
 

@@ -1,6 +1,7 @@
 """Literal edge cases of boxes, tables, chunks and assembly."""
 
 import itertools
+import json
 import math
 import random
 
@@ -155,7 +156,14 @@ def test_page_text_order_and_sections(spark):
 def test_sections_counters_and_summaries(spark):
     cells = [["T", None], ["A", "B"], ["1", "2"]]
     made = tables.section_text(tables.structured(spark.createDataFrame([("d", 2, 1, cells)], "doc_id string, page_num int, number int, cells array<array<string>>"))).first().section
-    assert made.startswith("\n\nTABLE 1 ON PAGE 2\n\nType: headline\nHas Header: True\nData Rows: 1\nHeadline: T\n```json\n{") and '"description":null' in made
+    assert made.startswith("\n\nTABLE 1 ON PAGE 2\n\nType: headline\nHas Header: True\nData Rows: 1\nHeadline: T\n```json\n{")
+    record = {"table_number": 1, "page_number": 2, "type": "headline", "headline": "T", "description": None, "column_headers": ["A", "B"], "data_rows_count": 1, "data_rows": [{"A": "1", "B": "2"}]}
+    assert made.split("```json\n")[1] == json.dumps(record, indent=2, ensure_ascii=False) + "\n```\n\n"
+    cells = [["", 'H "1"', "h\u00e92"], ["r\\1", "x", None], ["none", "y", "z"], ["r2", "a\tb", "c"]]
+    made = tables.section_text(tables.structured(spark.createDataFrame([("d", 2, 1, cells), ("d", 3, 1, [])], "doc_id string, page_num int, number int, cells array<array<string>>"))).orderBy("page_num").collect()
+    record = {"table_number": 1, "page_number": 2, "type": "standard", "headline": None, "description": None, "column_headers": ['H "1"', "h\u00e92"], "data_rows_count": 2, "data_rows": [{"r\\1": {'H "1"': "x"}}, {"r2": {'H "1"': "a\tb", "h\u00e92": "c"}}]}
+    assert made[0].section.split("```json\n")[1] == json.dumps(record, indent=2, ensure_ascii=False) + "\n```\n\n"
+    assert '"column_headers": [],' in made[1].section and '"data_rows": []\n}' in made[1].section
     parts = spark.createDataFrame([("d", 1, 2, 0), ("d", 1, 3, 0)], "doc_id string, page_num int, words int, skipped int")
     assert tuple(assemble.page_counters(parts, "words", "skipped").first()) == ("d", 1, 5, None)
     drawn = spark.createDataFrame([("d", 1, 1, [3, 4], True, "a.png", None), ("d", 1, 2, [5, 6], False, "b.png", "larger")], "doc_id string, page_num int, number int, resolution array<int>, saved boolean, filename string, skipped_reason string")
