@@ -1,11 +1,13 @@
 """License scan by a positional rare-token index, in DataFrame functions only.
 
 A template is the words of a licence notice with a mandatory key phrase.  The corpus' document
-frequencies of all licence words (a table bounded by the templates' vocabulary) say which word of each
-key phrase has the highest IDF: its anchor.  A file looks up its anchor words only, in postings of
-(template, position); template and relative position give a place, at which the whole key phrase must
-stand word for word and at least ``COVERAGE`` of the template's IDF weight must match.  Since the anchor
-belongs to the mandatory phrase, no place is lost by looking up rare words only, whatever the IDFs are.
+frequencies of all licence words (a table bounded by the templates' vocabulary) rank them by IDF.  A file looks up
+its rarest licence words: as a template can stand only where all words of its key phrase do, these are, for each
+template, the two rarest words of the key phrase.  Their postings, (template, position), turn places of both words into
+starts of the template, which are intersected: only where both agree is the key phrase compared word for word.  A
+verified key phrase gives the label, whatever else the corpus holds; the share of the notice's IDF weight that matches at
+the place is its score.  Since both words belong to the mandatory phrase, no place is lost by looking up rare words
+only, whatever the IDFs are.  Texts are read twice, once for the frequencies.
 
 Everything but the frequencies is computed within a row, so nothing is shuffled and hot words, sources
 or copies need no care.
@@ -36,11 +38,11 @@ BASE = (
     Template("gpl", "general public license", "general public license"),
     Template("reserved", "all rights reserved", "all rights reserved"),
 )
-#: Short notices of common licences, as their publishers word them.
+#: Notices of common licences, or their first sentences, as their publishers word them: fixed values.
 TEMPLATES = (
     Template("agpl-3.0", "licensed under the gnu affero general public license version 3", "affero general public license"),
-    Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache license version 2 0"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     Template("bsd-2-clause", "licensed under the bsd 2 clause license", "bsd 2 clause license"),
     Template("bsd-3-clause", "licensed under the bsd 3 clause license", "bsd 3 clause license"),
     Template("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
@@ -50,17 +52,16 @@ TEMPLATES = (
     Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
     Template("cc0-1.0", "released under cc0 1 0 universal", "cc0 1 0 universal"),
     Template("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    Template("gpl-any", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "terms of the gnu general public license as published by the free software foundation"),
     Template("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute"),
     Template("lgpl-3.0", "licensed under the gnu lesser general public license version 3", "lesser general public license"),
     Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted free of charge to any person obtaining a copy"),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "hereby granted free of charge to any person obtaining a copy"),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
     Template("proprietary", "proprietary and confidential", "proprietary and confidential"),
     Template("unlicense", "free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 )
-#: Share of a template's IDF weight that must match at a place, its key phrase included.
-COVERAGE = 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The one character outside ASCII whose lower case is an ASCII letter.
 _KELVIN = "\u212a"
@@ -92,48 +93,55 @@ def _at(phrase: Sequence[str], start: Column) -> Column:
     return out
 
 
-def _anchor(key: Sequence[str], idf: dict[str, float]) -> int:
-    return max(range(len(key)), key=lambda i: (idf[key[i]], -i))
+def _rarest(key: Sequence[str], idf: dict[str, float]) -> list[int]:
+    """Places in a key phrase of its two rarest different words (one if it has no more), the rarest first."""
+    first = {w: i for i, w in reversed(list(enumerate(key)))}
+    return sorted(first.values(), key=lambda i: (-idf[key[i]], i))[:2]
 
 
 def scan(docs: DataFrame, base: Sequence[Template] = BASE, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places)``.
 
-    ``places``: an array of (label, start, score) of all templates found, base phrases included.
+    ``places``: an array of (label, start, score) of all templates found, base phrases included; ``start`` is where the
+    notice would begin, which may lie before the text.
     """
     every = [*base, *templates]
     worded = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     n, often = document_frequencies(worded, vocabulary(every))
     idf = {w: math.log((n + 1) / (often.get(w, 0) + 1)) + 1 for w in vocabulary(every)}
-    # Postings: which templates a rare word belongs to, and where the notice starts from its place.
-    postings: dict[str, list[tuple[int, int]]] = {}
-    starts = []
-    for t, template in enumerate(every):
+    rare = []  # for each template: its rare words, each with its place in the notice; and where its key phrase begins
+    for template in every:
         notice, key = template.notice.split(), template.key.split()
         shift = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
-        place = _anchor(key, idf)
-        postings.setdefault(key[place], []).append((t, shift + place))
-        starts.append(shift)
-    anchors = sorted(postings)
-    position = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(anchors))
-    looked = worded.withColumn("hits", F.when(F.arrays_overlap("words", F.array(*map(F.lit, anchors))), position).otherwise(F.array().cast("array<int>")))
-
-    def places(i: Column) -> Column:
-        """The templates whose anchor stands at word ``i``, verified."""
-        found = []
-        for word, entries in postings.items():
-            for t, back in entries:
-                notice, key = every[t].notice.split(), every[t].key.split()
-                start = i - back
-                total = sum(idf[w] for w in notice)
-                weight = F.lit(0.0)
-                for k, w in enumerate(notice):
-                    weight = weight + F.when(F.get("words", start + k) == w, F.lit(idf[w] / total)).otherwise(0.0)
-                keyed = (F.get("words", i) == word) & _at(key, start + starts[t])
-                found.append(F.when(keyed, F.struct(F.lit(t).alias("t"), F.lit(every[t].label).alias("label"), start.alias("start"), F.least(F.lit(1.0), weight).alias("score"))))
-        return F.filter(F.array(*found), lambda x: x.isNotNull() & (x["score"] >= COVERAGE))
-
-    placed = looked.select("doc_id", F.size("words").cast("long").alias("n_words"), F.flatten(F.transform("hits", places)).alias("places"))
+        rare.append(([(key[i], shift + i) for i in _rarest(key, idf)], shift))
+    looked_up = sorted({w for words, _ in rare for w, _ in words})
+    position = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(looked_up))
+    none = F.array().cast("array<struct<w:string,i:int>>")
+    looked = worded.withColumn("hits", F.when(F.arrays_overlap("words", F.array(*map(F.lit, looked_up))), position).otherwise(none))
+    looked = looked.withColumn("own", F.array_distinct(F.transform("hits", lambda x: x["w"])))
+
+    def places(t: int) -> Column:
+        """The places of a template in a file that holds its rare words: their starts intersected, then verified."""
+        notice, key = every[t].notice.split(), every[t].key.split()
+        words, shift = rare[t]
+        total = sum(idf[w] for w in notice)
+        starts = [F.transform(F.filter("hits", lambda x: x["w"] == word), lambda x: x["i"] - back) for word, back in words]
+        met = starts[0] if len(starts) == 1 else F.array_intersect(*starts)
+        found = F.filter(met, lambda start: _at(key, start + shift))
+
+        def place(start: Column) -> Column:
+            weight = F.lit(0.0)
+            for k, w in enumerate(notice):
+                weight = weight + F.when(F.get("words", start + k) == w, F.lit(idf[w] / total)).otherwise(0.0)
+            return F.struct(F.lit(t).alias("t"), F.lit(every[t].label).alias("label"), start.alias("start"), F.least(F.lit(1.0), weight).alias("score"))
+
+        here = F.lit(True)
+        for word, _ in words:
+            here = here & F.array_contains("own", word)
+        return F.when(here, F.transform(found, place)).otherwise(F.array().cast("array<struct<t:int,label:string,start:int,score:double>>"))
+
+    looked = looked.withColumn("places", F.when(F.size("hits") > 0, F.flatten(F.array(*map(places, range(len(every)))))).otherwise(F.array().cast("array<struct<t:int,label:string,start:int,score:double>>")))
+    placed = looked.select("doc_id", F.size("words").cast("long").alias("n_words"), "places")
     basic = F.transform(F.filter("places", lambda x: x["t"] < len(base)), lambda x: x["start"].cast("long"))
     labels = [F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(chosen, lambda x: x["label"])))) for chosen in (F.filter("places", lambda x: x["t"] < len(base)), F.col("places"))]
     return placed.select(
@@ -162,7 +170,7 @@ places AS (SELECT r, unnest(words) AS w, unnest(range(0, len(words))) AS i FROM
 keyed AS (SELECT p.r, t.t, p.i - t.shift AS start FROM places p JOIN templates t ON p.w = t.key[1] JOIN texts d ON d.r = p.r WHERE list_slice(d.words, p.i + 1, p.i + len(t.key)) = t.key),
 weighed AS (SELECT k.r, k.t, k.start, least(1.0, sum(CASE WHEN k.start + q.k >= 0 AND d.words[k.start + q.k + 1] = q.w THEN idf ELSE 0 END) / sum(idf)) AS score
   FROM keyed k JOIN parts q USING (t) JOIN idf USING (w) JOIN texts d USING (r) GROUP BY k.r, k.t, k.start),
-found AS (SELECT r, label, base, start, score FROM weighed JOIN templates USING (t) WHERE score >= {COVERAGE})
+found AS (SELECT r, label, base, start, score FROM weighed JOIN templates USING (t))
 SELECT doc_id, CAST(any_value(len(words)) AS BIGINT) AS n_words, CAST(count(*) FILTER (base) AS BIGINT) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, round(coalesce(max(score), 0), 6) AS score
 FROM texts LEFT JOIN found USING (r) GROUP BY r, doc_id"""
