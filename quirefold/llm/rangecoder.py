@@ -4,32 +4,35 @@ A segment holds whole documents: a header with their ids and lengths, then the i
 blocks of ``BLOCK`` ids.  Blocks are coded independently, each with a model of its own that starts
 empty, and have a CRC-32 each; so all blocks of a segment run in lockstep as lanes of numpy arrays.
 
-The model of a block predicts ids.  Order 2 and order 1 name the id that followed the same one or two
-ids before, with a confidence.  A first binary decision says whether order 2 is right, a second one
-whether order 1 is; their probabilities mix two adaptive estimates, one by both confidences and one by
-the order's own.  What neither names is coded by order 0: the high part of the id by adaptive
-frequencies that are brought up to date at fixed, doubling intervals, the low byte evenly.  A 64-bit
-range coder turns all of this into 32-bit digits; carries are resolved at the end of a block.
-
-All arithmetic is in integers, so that files can be read on any machine.
-
-Layout, little-endian: magic, version, block size, numbers of documents, ids and blocks (uint32 each but
-uint64 for the ids); document ids (int64) and whether they are null (uint8); document lengths (int64);
+The model of a block predicts whole ids, which it knows by slots: their numbers in order of first appearance.
+Order 2 and order 1 name the slot that followed the same two or one slots before, with a confidence.  Binary
+decisions say whether order 2 is right, else whether order 1 is, else whether the id is new to the block; each
+mixes two adaptive estimates from different contexts in the logistic domain, with weights that every block learns
+by gradient steps.  A known id that no order named is coded by order 0: the adaptive frequency of every slot so far.
+A new id is coded by the adaptive frequencies of its high part, brought up to date at fixed, doubling intervals,
+and its low bits evenly.  A 64-bit range coder turns all of this into 32-bit digits; carries are resolved at the
+end of a block.
+
+All arithmetic is in integers, so that files can be read on any machine.  Ids are below ``MOST_ID``.
+
+Layout, little-endian: magic, version, block size, low bits of new ids, numbers of documents, ids and blocks (uint32
+each but uint64 for the ids); document ids (int64) and whether they are null (uint8); document lengths (int64);
 for each block its bytes (uint32) and the CRC-32 of its ids and bytes (uint32); the blocks.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
 import numpy as np
 
-MAGIC, VERSION, BLOCK = 0x51464C44, 1, 1024
-_HEAD = struct.Struct("<IIIIQI")
-ORDER1, ORDER2 = 9, 10  # bits of the context tables
-HIGH, TOTAL = 256, 10  # order-0 symbols (id >> 8) and bits of their frequencies' sum
-MOST_ID = 1 << 16
+MAGIC, VERSION, BLOCK = 0x51464C44, 2, 1024
+_HEAD = struct.Struct("<IIIIIQI")
+SIDE = 32  # slots of a group, and groups: their square is a block's most slots
+HIGH, TOTAL = 256, 10  # symbols of a new id's high part and bits of their frequencies' sum
+MOST_ID = 1 << 28
 REFRESH = frozenset((32, 96, 224, 480, 800))
 
 
@@ -37,28 +40,67 @@ class CorruptBlock(ValueError):
     """A block whose ids do not have the CRC-32 written with it, or a segment cut short."""
 
 
+#: Logistic tables: probabilities of 12 bits, and 256 times their log odds.
+_STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
+_SQUASH = np.array([max(1, min(4095, int(4096 / (1 + math.exp(-x / 256)) + 0.5))) for x in range(-2047, 2048)], np.int32)
+#: Steps of an estimate by how often it was met, of 16 bits.
+_STEP = np.array([65536 * 2 // (2 * n + 3) for n in range(32)], np.int32)
+MOST_MET, WEIGHT, MOST_WEIGHT = 30, 26_000, 3 << 16
+
+
+class _Decision:
+    """A binary decision of n lanes: two estimates, each by a context of its own, mixed with learned weights."""
+
+    def __init__(self, n: int, *contexts: int):
+        self.sizes = contexts
+        self.tables = [np.full(n * size, 1 << 20, np.int32) for size in contexts]  # 16 bits of probability, 5 of how often it was met
+        self.weights = [np.full(n, WEIGHT, np.int32) for _ in contexts]
+
+    def predict(self, lanes: np.ndarray, *contexts: np.ndarray) -> np.ndarray:
+        self.lanes = lanes
+        self.at = [lanes * size + c for size, c in zip(self.sizes, contexts)]
+        self.found = [t.take(a) for t, a in zip(self.tables, self.at)]
+        self.odds = [_STRETCH.take(e >> 9) for e in self.found]
+        self.own = [w.take(lanes) for w in self.weights]
+        total = (self.own[0] * self.odds[0] + self.own[1] * self.odds[1]) >> 16
+        self.chance = _SQUASH.take(np.clip(total, -2047, 2047) + 2047)
+        return self.chance
+
+    def learn(self, hit: np.ndarray) -> None:
+        goal = hit.astype(np.int32)
+        miss = ((goal << 12) - self.chance) * 5
+        for table, weights, at, e, odds, own in zip(self.tables, self.weights, self.at, self.found, self.odds, self.own):
+            weights[self.lanes] = np.clip(own + ((odds * miss + 2048) >> 12), -MOST_WEIGHT, MOST_WEIGHT)
+            met, p = e & 31, e >> 5
+            p = p + (((goal << 16) - p) * (_STEP.take(met) >> 2) >> 14)
+            table[at] = (np.clip(p, 256, 65280) << 5) | np.minimum(met + 1, MOST_MET)
+
+
 class _Model:
     """The models of n blocks in lockstep."""
 
-    def __init__(self, n: int):
-        lane = np.arange(n, dtype=np.int64)
-        self.base1, self.base2, self.base_x, self.base_y = lane << ORDER1, lane << ORDER2, lane << 4, lane << 2
-        self.table1, self.table2 = np.zeros(n << ORDER1, np.int32), np.zeros(n << ORDER2, np.int32)
-        self.x2, self.x1 = np.full(n << 4, 1 << 11, np.int32), np.full(n << 4, 1 << 11, np.int32)
-        self.y2, self.y1 = np.full(n << 2, 1 << 11, np.int32), np.full(n << 2, 1 << 11, np.int32)
+    def __init__(self, n: int, bits: int):
+        self.lane = np.arange(n, dtype=np.int64)
+        self.base = self.lane << 10
+        self.table1, self.table2 = np.zeros(n << 10, np.int16), np.zeros(n << 10, np.int16)
         self.prev1, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.n = n
-        self.counts = np.zeros((n, HIGH), np.int32)
-        self.flat_counts = self.counts.reshape(-1)
-        self.base_high = lane * HIGH
+        self.second, self.first, self.fresh = _Decision(n, 16, 32), _Decision(n, 16, 32), _Decision(n, 32, 8)
+        self.was_new = np.zeros(n, np.int64)
+        # Order 0: of each slot its count and those before it in its group, of each group the counts before it.
+        self.counts, self.before, self.before_groups = np.zeros(n << 10, np.int16), np.zeros((n << 5, SIDE), np.int16), np.zeros((n, SIDE), np.int16)
+        self.flat_before = self.before.reshape(-1)
+        self.total, self.slots = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.n, self.bits = n, bits
+        self.highs = np.zeros((n, HIGH), np.int32)
+        self.flat_highs, self.base_high = self.highs.reshape(-1), self.lane * HIGH
         self.refresh()
 
     def refresh(self) -> None:
-        """Order-0 frequencies from the counts so far: each at least 1, 1024 in all."""
-        seen = self.counts.sum(axis=1, keepdims=True)
+        """Frequencies of new ids' high parts from the counts so far: each at least 1, 1024 in all."""
+        seen = self.highs.sum(axis=1, keepdims=True)
         spare = (1 << TOTAL) - HIGH
-        freq = 1 + np.where(seen > 0, self.counts * spare // np.maximum(seen, 1), spare // HIGH)
-        freq[np.arange(self.n), self.counts.argmax(axis=1)] += (1 << TOTAL) - freq.sum(axis=1)
+        freq = 1 + np.where(seen > 0, self.highs * spare // np.maximum(seen, 1), spare // HIGH)
+        freq[np.arange(self.n), self.highs.argmax(axis=1)] += (1 << TOTAL) - freq.sum(axis=1)
         self.freq = freq.reshape(-1).astype(np.uint64)
         self.cum = (np.cumsum(freq, axis=1) - freq).reshape(-1).astype(np.uint64)
         self.symbol = None  # made when a decoder asks for it
@@ -68,46 +110,61 @@ class _Model:
             self.symbol = np.repeat(np.tile(np.arange(HIGH, dtype=np.uint8), self.n), self.freq.astype(np.int64))
         return self.symbol
 
-    def predict(self) -> None:
-        self.i1 = self.base1 + ((self.prev1 * 40503) >> 3 & ((1 << ORDER1) - 1))
-        self.i2 = self.base2 + ((self.prev1 * 40503 + self.prev2 * 60493) >> 3 & ((1 << ORDER2) - 1))
-        self.e1, self.e2 = self.table1[self.i1], self.table2[self.i2]
+    def look_up(self, t: int) -> None:
+        self.i1 = self.base + self.prev1
+        self.i2 = self.base + ((self.prev1 * 40503 + self.prev2 * 60493) >> 4 & 1023)
+        self.e1, self.e2 = self.table1.take(self.i1), self.table2.take(self.i2)
         self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        both = (self.c2 << 2 | self.c1)
-        self.ix, self.iy2, self.iy1 = self.base_x + both, self.base_y + self.c2, self.base_y + self.c1
-        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-
-    def chance2(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, y = self.x2[self.ix], self.y2[self.iy2]
-        return x, y, (x + y) >> 1
-
-    def chance1(self, rest: np.ndarray):
-        ix, iy = self.ix[rest], self.iy1[rest]
-        x, y = self.x1[ix], self.y1[iy]
-        return ix, iy, x, y, (x + y) >> 1
-
-    @staticmethod
-    def learn(table: np.ndarray, at: np.ndarray, value: np.ndarray, goal: np.ndarray, shift: int) -> None:
-        table[at] = value + ((goal - value) >> shift)
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray) -> None:
-        new = ids << 2
-        hit1 = ids == self.p1
-        self.table1[self.i1] = np.where(hit1, self.e1 + (self.c1 < 3), np.where(self.c1 > 0, self.e1 - 1, new))
-        self.table2[self.i2] = np.where(hit2, self.e2 + (self.c2 < 3), np.where(self.c2 > 0, self.e2 - 1, new))
-        self.prev2, self.prev1 = self.prev1, ids.astype(np.int64)
-
-    def count(self, rest: np.ndarray, high: np.ndarray) -> None:
-        self.flat_counts[self.base_high[rest] + high] += 1
-
-
-#: Probabilities of 12 bits keep clear of 0 and 1.
-def _goal(hit: np.ndarray) -> np.ndarray:
-    return np.where(hit, np.int32(4032), np.int32(64))
-
-
+        self.s1, self.s2 = self.e1 >> 2, self.e2 >> 2
+        self.both, self.stage, self.t = self.c2 << 2 | self.c1, min(t >> 7, 7), t
+        self.open = np.ones(self.n, bool)
+
+    def by_second(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.c2)
+        return at, self.second.predict(at, self.both[at], (self.c2[at] << 3) + self.stage)
+
+    def by_first(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.open & (self.c1 > 0) & ((self.c2 == 0) | (self.s1 != self.s2)))
+        return at, self.first.predict(at, self.both[at], (self.c1[at] << 3) + self.stage)
+
+    def by_zero(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.open)
+        return at, self.fresh.predict(at, np.full(len(at), min(self.t >> 5, 31)), (self.was_new[at] << 2) + self.c1[at])
+
+    def interval(self, lanes: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of known slots: the counts before it, its own, and all."""
+        at = (lanes << 10) + slot
+        low = self.before_groups.take((lanes << 5) + (slot >> 5)) + self.flat_before.take(at)
+        return low.astype(np.uint64), self.counts.take(at).astype(np.uint64), self.total[lanes].astype(np.uint64)
+
+    def slot_at(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The slot whose interval holds a value below the lane's total."""
+        value = value.astype(np.int16)
+        group = SIDE - 1 - (self.before_groups[lanes] <= value[:, None])[:, ::-1].argmax(axis=1)
+        value = value - self.before_groups[lanes, group]
+        return (group << 5) + SIDE - 1 - (self.before[(lanes << 5) + group] <= value[:, None])[:, ::-1].argmax(axis=1)
+
+    def count(self, lanes: np.ndarray, slot: np.ndarray) -> None:
+        group, row = slot >> 5, (lanes << 5) + (slot >> 5)
+        self.counts[(lanes << 10) + slot] += 1
+        self.before[row] = self.before[row] + _AFTER[slot & 31]
+        self.before_groups[lanes] = self.before_groups[lanes] + _AFTER[group]
+        self.total[lanes] += 1
+
+    def update(self, slot: np.ndarray, new: np.ndarray) -> None:
+        """Both orders and the history; ``new``: lanes whose id is new."""
+        named = (slot << 2).astype(np.int16)
+        for table, at, e, c, s in ((self.table1, self.i1, self.e1, self.c1, self.s1), (self.table2, self.i2, self.e2, self.c2, self.s2)):
+            table[at] = np.where((s == slot) & (c > 0), e + (c < 3), np.where(c > 1, e - 1, named + 1))
+        self.prev2, self.prev1 = self.prev1, slot
+        self.was_new[:] = 0
+        self.was_new[new] = 1
+
+
+#: For each place of a group, ones at the places after it.
+_AFTER = np.triu(np.ones((SIDE, SIDE), np.int16), 1)
 _HALF, _LOW_HALF, _LEAST_RANGE = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
-_BIT, _LITERAL = np.uint64(12), np.uint64(TOTAL + 8)  # bits of a decision's and of a literal's interval
+_BIT = np.uint64(12)  # bits of a decision's interval
 _ZERO = np.uint64(0)
 
 
@@ -141,9 +198,9 @@ class _Writer:
         start = (span >> _BIT) * chance
         self._narrow(lanes, low, low + np.where(hit, _ZERO, start), np.where(hit, start, span - start))
 
-    def literal(self, lanes: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
-        low, part = self.low[lanes], self.range[lanes] >> _LITERAL
-        self._narrow(lanes, low, low + part * place, part * size)
+    def place(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        before, part = self.low[lanes], self.range[lanes] // total
+        self._narrow(lanes, before, before + part * low, part * size)
 
     def end(self) -> list[bytes]:
         lane = np.arange(len(self.low))
@@ -187,80 +244,111 @@ class _Reader:
         self._narrow(lanes, code - np.where(hit, _ZERO, start), np.where(hit, start, span - start))
         return hit
 
-    def literal(self, lanes: np.ndarray, model: _Model) -> tuple[np.ndarray, np.ndarray]:
-        code, part = self.code[lanes], self.range[lanes] >> _LITERAL
-        slot = np.minimum(code // np.maximum(part, np.uint64(1)), np.uint64((1 << (TOTAL + 8)) - 1)).astype(np.int64)
-        low, high = slot >> TOTAL, model.symbols()[(lanes << TOTAL) + (slot & ((1 << TOTAL) - 1))].astype(np.int64)
-        at = model.base_high[lanes] + high
-        place = (low << TOTAL).astype(np.uint64) + model.cum[at]
-        self._narrow(lanes, code - part * place, part * model.freq[at])
-        return high, low
+    def value(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Where the code stands in ``total`` parts of the range; ``placed`` must follow."""
+        self.part = self.range[lanes] // total
+        return np.minimum(self.code[lanes] // np.maximum(self.part, np.uint64(1)), total - np.uint64(1))
 
+    def placed(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
+        self._narrow(lanes, self.code[lanes] - self.part * low, self.part * size)
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """(blocks, length) ids -> the bytes of each block."""
+
+def slots_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, length) ids -> their numbers in order of first appearance in the block, and whether they are new there."""
+    n, length = ids.shape
+    order = np.argsort(ids, axis=1, kind="stable")
+    ranked = np.take_along_axis(ids, order, axis=1)
+    starts = np.ones((n, length), bool)
+    starts[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    run = np.maximum.accumulate(np.where(starts, np.arange(length), 0), axis=1)
+    first = np.empty((n, length), np.int64)
+    np.put_along_axis(first, order, np.take_along_axis(order, run, axis=1), axis=1)
+    new = first == np.arange(length)
+    return np.take_along_axis(np.cumsum(new, axis=1) - 1, first, axis=1), new
+
+
+def encode_blocks(ids: np.ndarray, bits: int = 8) -> list[bytes]:
+    """(blocks, length) ids -> the bytes of each block; ``bits``: the low ones of a new id."""
     n, length = ids.shape
-    columns = np.ascontiguousarray(ids.T.astype(np.int32))
-    model, out = _Model(n), _Writer(n, length + 8)
+    slots, new = (np.ascontiguousarray(x.T) for x in slots_of(ids))
+    columns = np.ascontiguousarray(ids.T.astype(np.int64))
+    model, out = _Model(n, bits), _Writer(n, 2 * length + 8)
+    whole = np.uint64(1 << (TOTAL + bits))
     for t in range(length):
         if t in REFRESH:
             model.refresh()
-        own = columns[t]
-        model.predict()
-        x, y, p = model.chance2()
-        hit2 = own == model.p2
-        out.decide(None, p.astype(np.uint64), hit2)
-        goal = _goal(hit2)
-        model.learn(model.x2, model.ix, x, goal, 4)
-        model.learn(model.y2, model.iy2, y, goal, 5)
-        rest = np.flatnonzero(~hit2)
-        if len(rest):
-            ix, iy, x, y, p = model.chance1(rest)
-            hit1 = own[rest] == model.p1[rest]
-            out.decide(rest, p.astype(np.uint64), hit1)
-            goal = _goal(hit1)
-            model.learn(model.x1, ix, x, goal, 4)
-            model.learn(model.y1, iy, y, goal, 5)
-            rest = rest[~hit1]
-            if len(rest):
-                high = own[rest] >> 8
-                at = model.base_high[rest] + high
-                out.literal(rest, ((own[rest] & 255).astype(np.uint64) << np.uint64(TOTAL)) + model.cum[at], model.freq[at])
-                model.count(rest, high)
-        model.update(own, hit2)
+        slot = slots[t]
+        model.look_up(t)
+        for predict, decision, named in ((model.by_second, model.second, model.s2), (model.by_first, model.first, model.s1)):
+            at, chance = predict()
+            if len(at):
+                hit = named[at] == slot[at]
+                out.decide(at, chance.astype(np.uint64), hit)
+                decision.learn(hit)
+                model.open[at[hit]] = False
+        at, chance = model.by_zero()
+        fresh = at[:0]
+        if len(at):
+            is_new = new[t][at]
+            out.decide(at, chance.astype(np.uint64), is_new)
+            model.fresh.learn(is_new)
+            fresh, known = at[is_new], at[~is_new]
+            if len(known):
+                out.place(known, *model.interval(known, slot[known]))
+            if len(fresh):
+                high, low = columns[t][fresh] >> bits, columns[t][fresh] & ((1 << bits) - 1)
+                i = model.base_high[fresh] + high
+                out.place(fresh, (low.astype(np.uint64) << np.uint64(TOTAL)) + model.cum[i], model.freq[i], whole)
+                model.flat_highs[i] += 1
+            model.count(at, slot[at])
+        model.update(slot, fresh)
     return out.end()
 
 
-def decode_blocks(blocks: list[bytes], length: int) -> np.ndarray:
+def decode_blocks(blocks: list[bytes], length: int, bits: int = 8) -> np.ndarray:
     """The bytes of blocks of ``length`` ids each -> (blocks, length) ids."""
     n = len(blocks)
-    model, source = _Model(n), _Reader(blocks)
-    columns = np.zeros((length, n), np.int32)
+    model, source = _Model(n, bits), _Reader(blocks)
+    columns, known_ids = np.zeros((length, n), np.int64), np.zeros((n, SIDE * SIDE), np.int64)
+    whole, mask = np.uint64(1 << (TOTAL + bits)), (1 << TOTAL) - 1
     for t in range(length):
         if t in REFRESH:
             model.refresh()
-        model.predict()
-        x, y, p = model.chance2()
-        hit2 = source.decide(None, p.astype(np.uint64))
-        goal = _goal(hit2)
-        model.learn(model.x2, model.ix, x, goal, 4)
-        model.learn(model.y2, model.iy2, y, goal, 5)
-        own = model.p2.copy()
-        rest = np.flatnonzero(~hit2)
-        if len(rest):
-            ix, iy, x, y, p = model.chance1(rest)
-            hit1 = source.decide(rest, p.astype(np.uint64))
-            goal = _goal(hit1)
-            model.learn(model.x1, ix, x, goal, 4)
-            model.learn(model.y1, iy, y, goal, 5)
-            own[rest] = model.p1[rest]
-            rest = rest[~hit1]
-            if len(rest):
-                high, low = source.literal(rest, model)
-                own[rest] = (high << 8 | low).astype(np.int32)
-                model.count(rest, high)
-        columns[t] = own
-        model.update(own, hit2)
+        slot = np.zeros(n, np.int64)
+        model.look_up(t)
+        for predict, decision, named in ((model.by_second, model.second, model.s2), (model.by_first, model.first, model.s1)):
+            at, chance = predict()
+            if len(at):
+                hit = source.decide(at, chance.astype(np.uint64))
+                decision.learn(hit)
+                right = at[hit]
+                slot[right] = named[right]
+                model.open[right] = False
+        at, chance = model.by_zero()
+        fresh = at[:0]
+        if len(at):
+            is_new = source.decide(at, chance.astype(np.uint64))
+            model.fresh.learn(is_new)
+            fresh, known = at[is_new], at[~is_new]
+            if len(known):
+                if not model.total[known].all():
+                    raise CorruptBlock("a block repeats an id before it has one")
+                found = np.minimum(model.slot_at(known, source.value(known, model.total[known].astype(np.uint64)).astype(np.int64)), model.slots[known] - 1)
+                low, size, _ = model.interval(known, found)
+                source.placed(known, low, size)
+                slot[known] = found
+            if len(fresh):
+                value = source.value(fresh, whole).astype(np.int64)
+                low, high = value >> TOTAL, model.symbols()[(fresh << TOTAL) + (value & mask)].astype(np.int64)
+                i = model.base_high[fresh] + high
+                source.placed(fresh, (low << TOTAL).astype(np.uint64) + model.cum[i], model.freq[i])
+                model.flat_highs[i] += 1
+                slot[fresh] = model.slots[fresh]
+                known_ids[fresh, slot[fresh]] = high << bits | low
+                model.slots[fresh] += 1
+            model.count(at, slot[at])
+        columns[t] = known_ids[model.lane, slot]
+        model.update(slot, fresh)
     return columns.T
 
 
@@ -269,15 +357,16 @@ def _check(ids: np.ndarray, block: bytes) -> int:
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One segment; ``ids`` are those of all documents in order, each below 65,536."""
+    """One segment; ``ids`` are those of all documents in order, each below ``MOST_ID``."""
     if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= MOST_ID):
-        raise ValueError("ids must fit 16 bits")
+        raise ValueError(f"ids must be from 0 to {MOST_ID - 1}")
     n = -(-len(ids) // BLOCK)
+    bits = max(8, int(ids.max()).bit_length() - 8) if len(ids) else 8
     padded = np.zeros((n, BLOCK), np.int32)
     padded.reshape(-1)[: len(ids)] = ids
-    blocks = encode_blocks(padded) if n else []
+    blocks = encode_blocks(padded, bits) if n else []
     crcs = [_check(row, b) for row, b in zip(padded, blocks)]
-    head = _HEAD.pack(MAGIC, VERSION, BLOCK, len(doc_ids), len(ids), n)
+    head = _HEAD.pack(MAGIC, VERSION, BLOCK, bits, len(doc_ids), len(ids), n)
     return b"".join([
         head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), np.asarray(lengths, "<i8").tobytes(),
         np.array([(len(b), c) for b, c in zip(blocks, crcs)], "<u4").tobytes(), *blocks,
@@ -287,8 +376,8 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """A segment -> document ids, lengths and all ids; raises ``CorruptBlock`` where a check fails."""
     try:
-        magic, version, block, docs, total, n = _HEAD.unpack_from(data)
-        if (magic, version) != (MAGIC, VERSION):
+        magic, version, block, low_bits, docs, total, n = _HEAD.unpack_from(data)
+        if (magic, version, block) != (MAGIC, VERSION, BLOCK) or not 8 <= low_bits <= 20:
             raise CorruptBlock("not a segment of this version")
         at = _HEAD.size
         ids = np.frombuffer(data, "<i8", docs, at).tolist()
@@ -302,7 +391,7 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if len(data) != (int(ends[-1]) if n else at) or int(lengths.sum()) != total:
         raise CorruptBlock("the segment's parts do not add up")
     blocks = [data[int(e) - int(s) : int(e)] for s, e in zip(table[:, 0], ends)]
-    out = decode_blocks(blocks, block) if n else np.zeros((0, block), np.int32)
+    out = decode_blocks(blocks, block, low_bits) if n else np.zeros((0, block), np.int32)
     for k, row in enumerate(out):
         if _check(row, blocks[k]) != int(table[k, 1]):
             raise CorruptBlock(f"block {k} fails its checksum")

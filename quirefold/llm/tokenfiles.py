@@ -1,6 +1,7 @@
 """Token ids of whole documents in binary segments, written in ascending order of ``doc_id`` and read back.
 
-Documents are dealt out by ranges of ``doc_id`` and sorted within them; each task tokenizes its own and
+Documents are dealt out by ranges of ``doc_id`` and of their texts' starts, so that one id on very many rows, or none,
+is many ranges, and sorted within them; each task tokenizes its own and
 packs them into segments of about ``SEGMENT`` ids (a longer document has one of its own) in the format of
 ``rangecoder``.  Segments are the rows of a Parquet table, so that any file system that Spark reaches can
 hold them and a lost executor's part is written again.  A document's place among all ids is its range's
@@ -106,7 +107,8 @@ def write(docs: DataFrame, scratch: Scratch, name: str, tokenizer_path: str, end
     """Writes ``docs(doc_id, text, ...)`` and returns the table of segments: (part, before, n_ids, segment)."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 64).alias("start"))  # ranges are drawn from starts, as texts may be long
+    ordered = keyed.repartitionByRange("doc_id", "start").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     return scratch.save(ordered.mapInArrow(_writing(shared, pattern, end_id), "part int, before long, n_ids long, segment binary"), name)
 
 
