@@ -10,7 +10,7 @@ INLINE = SPACES.replace("\\x09-\\x0d", "\\x09\\x0b-\\x0d")
 #: Characters that count as European: fixed ranges (the first spans A-z with what lies between).
 EUROPEAN = "A-z\u00c0-\u024f\u1e00-\u1eff\u0370-\u03ff\u0400-\u052f\u2c60-\u2c7f\ua640-\ua69f0-9"
 WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_']*"
-JOINED = "[^\\n]*-\\n[^\\n]+"
+JOINED = "-\\n[^\\n]+"
 #: Soft hyphen and zero-width space go; thin, no-break, en and hair space become a space.
 _FROM, _TO = "\u2009\u00a0\u2002\u200a\u00ad\u200b", "    "
 
@@ -29,7 +29,7 @@ def _stripped_lines(c: Column) -> Column:
 
 def fix_hyphens(c: Column) -> Column:
     """Joins words that a hyphen and a line's end cut in two (pairs of lines, not chains); other line ends become spaces."""
-    return F.replace(F.regexp_replace(_stripped_lines(c), f"([^\\n]*?)[{INLINE}]*-\\n([^\\n]+)", "$1$2"), F.lit("\n"), F.lit(" "))
+    return F.replace(F.regexp_replace(_stripped_lines(c), f"[{INLINE}]*-\\n([^\\n]+)", "$1"), F.lit("\n"), F.lit(" "))
 
 
 def count_hyphens(c: Column) -> Column:
