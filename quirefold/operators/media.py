@@ -73,9 +73,8 @@ def nearby(items: DataFrame, tolerance: float) -> DataFrame:
     Left edges fall into strips; a box meets those of the strips it reaches, so that crowded pages make no full product.
     """
     strip = max(tolerance, 1.0) * 4
-    low = F.floor(F.col("x0") / strip)
     left = _boxed(items, "_a", "idx").withColumn("__s", F.explode(F.sequence(F.floor(F.col("x0_a") / strip), F.floor((F.col("x1_a") + tolerance) / strip))))
-    right = _boxed(items.withColumn("__s", low), "_b", "idx").join(items.select(*PAGE, F.col("idx").alias("idx_b"), low.alias("__s")), [*PAGE, "idx_b"])
+    right = _boxed(items, "_b", "idx").withColumn("__s", F.floor(F.col("x0_b") / strip))
     first = (F.col("x0_a") < F.col("x0_b")) | ((F.col("x0_a") == F.col("x0_b")) & (F.col("idx_a") < F.col("idx_b")))
     close = left.join(right, [*PAGE, "__s"]).where(first & (F.col("x0_b") <= F.col("x1_a") + tolerance) & (g.distance(g.box(suffix="_a"), g.box(suffix="_b")) <= tolerance))
     return close.select(*PAGE, F.least("idx_a", "idx_b").alias("idx_a"), F.greatest("idx_a", "idx_b").alias("idx_b"))

@@ -196,3 +196,22 @@ def test_media_folder_and_idempotent_injection(spark):
     assert [r.path for r in done.collect()] == ["/o/x.txt"]
     assert {r.path: (r.first_pass_additions, r.skipped) for r in counters.collect()} == {"/o/x.txt": (1, 0), "/o/y.txt": (0, 0), "/o/z.txt": (0, 1)}
     assert enrich.totals(counters).first().skipped == 1
+
+
+def test_injection_keeps_what_it_does_not_know(spark):
+    section = {
+        "zeta": "5", "alpha": None, "on": "true", "nested": {"b": [1, "2", None], "a": 1.50},
+        "figures": [{"saved": True, "filename": "f.v2.png", "custom": {"k": ["x", 1]}, "note": "7", "none": None, "caption \"q\"": "a\\b\n\u00e9"}, "loose", {"saved": "false", "filename": "g.png"},
+                    {"description": "old", "filename": "h.png", "index": "three"}],
+    }
+    text = "Head\n```json\n" + json.dumps(section, indent=2, ensure_ascii=False) + "\n```\ntail\n```json\n{ not json }\n```\n"
+    outputs = spark.createDataFrame([("/o/x.txt", text, "pics"), (None, None, None)], "path string, text string, media string")
+    sidecars = spark.createDataFrame([("/o/pics", "f.v2", 'start a "picture"'), ("/o", "g", "not saved"), ("/o", "h", "new")], "folder string, base string, text string")
+    assert {r.path: r.changed for r in enrich.injected(outputs, sidecars).collect()} == {"/o/x.txt": False, None: None}
+    got = {r.path: r.text for r in enrich.injected(outputs, sidecars, ("other", "figures")).collect()}
+    body = got["/o/x.txt"].split("```json\n")[1].split("\n```")[0]
+    section["figures"][0]["description"], section["figures"][3]["description"] = 'a "picture"', "new"
+    assert json.dumps(json.loads(body)) == json.dumps(section) and "1.5" in body
+    assert got["/o/x.txt"].startswith("Head\n") and got["/o/x.txt"].endswith("\n```\ntail\n```json\n{ not json }\n```\n")
+    counters = enrich.section_counters(outputs.where("path is not null"), sidecars, ("other", "figures")).first()
+    assert (counters.first_pass_additions, counters.second_pass_updates, counters.files_not_found, counters.errors_occurred) == (1, 1, 0, 1)
