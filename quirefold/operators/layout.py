@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quirefold.config import LayoutConfig
+from quirefold.config import SIMILAR_SIZE, TEXT_OVERLAP, LayoutConfig
 from quirefold.functions import geometry as g, text as t
 
 PAGE = ["doc_id", "page_num"]
@@ -34,9 +34,22 @@ def reading_order(blocks: DataFrame, config: LayoutConfig = LayoutConfig()) -> D
     return with_columns(blocks, config).withColumn("position", F.row_number().over(order))
 
 
-def text_sections(blocks: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
-    """Texts of a page in reading order: inside the safe area, not blank, spaces normalised, hyphens fixed; with counts."""
+def outside_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """``blocks`` that neither lie in a box of ``tables(doc_id, page_num, x0..y1)`` of their page nor nearly coincide with one of similar size."""
+    box, other = g.Box(*(blocks[c] for c in ("x0", "y0", "x1", "y1"))), g.box(suffix="_t")
+    near = g.overlaps(box, other) & (g.iou(box, other) > TEXT_OVERLAP) & (g.size_difference(box, other) <= SIMILAR_SIZE)
+    tables = tables.select(*(F.col(c).alias(f"{c}_t") for c in (*PAGE, "x0", "y0", "x1", "y1")))
+    return blocks.join(tables, [blocks[c] == tables[f"{c}_t"] for c in PAGE] + [g.contains(other, box) | near], "left_anti")
+
+
+def text_sections(blocks: DataFrame, config: LayoutConfig = LayoutConfig(), tables: DataFrame | None = None) -> DataFrame:
+    """Texts of a page in reading order: inside the safe area, not blank, spaces normalised, hyphens fixed; with counts.
+
+    With ``tables`` (off by default) texts that repeat a table's area go too, after the order is set.
+    """
     ordered = reading_order(blocks, config).where(~g.touches_margin(g.box(), F.col("width"), F.col("height"), config) & (t.strip(F.col("text")) != ""))
+    if tables is not None:
+        ordered = outside_tables(ordered, tables)
     spaced = ordered.withColumn("text", t.normalise_spaces(F.col("text")))
     if config.hyphen_fix:
         spaced = spaced.withColumn("hyphens_fixed", t.count_hyphens(F.col("text"))).withColumn("text", t.fix_hyphens(F.col("text")))

@@ -293,6 +293,13 @@ def text_sections(spark, sf_dir):
     return layout.text_sections(fx.blocks(spark, sf_dir)).select("page_num", F.col("block_idx").alias("idx"), "text", "hyphens_fixed", "word_count", "char_count")
 
 
+@query(f"""{_B} SELECT page_num, idx FROM boxes b WHERE kind = 2 AND NOT EXISTS (SELECT 1 FROM boxes t WHERE t.page_num = b.page_num AND t.kind IN (0, 3)
+  AND (b.x0 >= t.x0 AND b.y0 >= t.y0 AND b.x1 <= t.x1 AND b.y1 <= t.y1 OR {_sql_overlap('b', 't')} AND {_sql_iou('b', 't')} > 0.9::DOUBLE
+    AND abs({_sql_area('b')} - {_sql_area('t')}) / nullif(greatest({_sql_area('b')}, {_sql_area('t')}), 0) <= 0.2::DOUBLE))""")
+def text_outside_tables(spark, sf_dir):
+    return layout.outside_tables(fx.of_kind(spark, sf_dir, 2), fx.of_kind(spark, sf_dir, 0, 3)).select("page_num", "idx")
+
+
 # Tables ------------------------------------------------------------------------------------------------------------
 
 _G = f"{_B}, {fx.GRIDS}"

@@ -215,3 +215,11 @@ def test_injection_keeps_what_it_does_not_know(spark):
     assert got["/o/x.txt"].startswith("Head\n") and got["/o/x.txt"].endswith("\n```\ntail\n```json\n{ not json }\n```\n")
     counters = enrich.section_counters(outputs.where("path is not null"), sidecars, ("other", "figures")).first()
     assert (counters.first_pass_additions, counters.second_pass_updates, counters.files_not_found, counters.errors_occurred) == (1, 1, 0, 1)
+
+
+def test_texts_in_tables(spark):
+    blocks = spark.createDataFrame([(1, 1, k, *map(float, b)) for k, b in enumerate([(10, 10, 20, 20), (0, 0, 100, 104), (0, 0, 100, 130), (90, 90, 110, 110), (300, 300, 320, 320)])] + [(1, 2, 5, 10.0, 10.0, 20.0, 20.0), (1, 1, 6, None, 1.0, 2.0, 2.0)],
+                                   "doc_id long, page_num long, block_idx long, x0 double, y0 double, x1 double, y1 double")
+    tables_ = spark.createDataFrame([(1, 1, 0.0, 0.0, 100.0, 100.0)], "doc_id long, page_num long, x0 double, y0 double, x1 double, y1 double")
+    assert {r.block_idx for r in layout.outside_tables(blocks, tables_).collect()} == {2, 3, 4, 5, 6}
+    assert layout.outside_tables(blocks, tables_.limit(0)).count() == 7
