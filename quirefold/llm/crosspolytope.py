@@ -30,8 +30,8 @@ from quirefold.llm.scratch import Scratch
 
 TABLES, PROBES = 10, 2
 BLOCK = 512
-#: Rows of a group of bucket blocks, on average: how many groups there are follows the data.
-GROUP = 16_384
+#: Bytes of a group of bucket blocks, on average, with the vectors in double precision: how many groups there are follows the data.
+GROUP = 12 << 20
 #: Segments up to this size are compared as listed pairs of one array operation, larger ones as block products.
 SMALL = 24
 
@@ -209,7 +209,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame
     spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "class_id", "dim", "kind", "bucket", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     spread = scratch.save(spread, "spread")
-    groups = max(1, spread.count() // GROUP)
+    size = spread.agg(F.sum(F.col("dim").cast("long") * 8 + TABLES * PROBES * 8 + 56)).first()[0] or 0
+    groups = max(1, size // GROUP)
     full = spread.join(keyed.select("class_id", "keys"), "class_id").join(classes.select("class_id", "vector", "times"), "class_id")
     full = full.withColumn("part", F.pmod(F.xxhash64("kind", "bucket", "i", "j"), F.lit(groups)))
     found = full.groupBy("part").applyInArrow(_compare(least), "class_id long, weight long, a long, b long")

@@ -53,3 +53,22 @@ def test_empty_table(spark):
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(cp.hadamard(x), axis=1), 4 * np.linalg.norm(x, axis=1))
+
+
+def test_buckets_find_pairs_at_the_bound():
+    """Of pairs with a cosine of exactly 0.98, whatever the dimension, at least 99 in 100 share a bucket."""
+    r = np.random.default_rng(7)
+    for dim in (2, 8, 64, 200, 768):
+        x, y = r.normal(size=(2, 400, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (y * x).sum(axis=1, keepdims=True) * x
+        y = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(cp.buckets(x), cp.buckets(y))]) >= 0.99
+
+
+def test_wide_vectors_make_more_groups(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(i, (np.eye(1, 300)[0] * 9 + r.normal(size=300) * 0.07).tolist(), 1, "x", "y") for i in range(60)]
+    monkeypatch.setattr(cp, "GROUP", 4096)
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in cp.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute([(i, v, label) for i, v, label, _, _ in rows])
