@@ -30,6 +30,8 @@ from quirefold.llm.scratch import Scratch
 
 TABLES, PROBES = 10, 2
 BLOCK = 512
+#: Shorter vectors are padded to 2 to this many places, as in very few places all rotations have the same few bucket borders.
+LEAST_BITS = 4
 #: Bytes of a group of bucket blocks, on average, with the vectors in double precision: how many groups there are follows the data.
 GROUP = 12 << 20
 #: Segments up to this size are compared as listed pairs of one array operation, larger ones as block products.
@@ -64,7 +66,7 @@ def _axes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def buckets(vectors: np.ndarray) -> np.ndarray:
     """(rows, TABLES * PROBES) bucket numbers of unit vectors of one length; the table is part of the number."""
-    n = 1 << max(1, int(vectors.shape[1] - 1).bit_length())
+    n = 1 << max(LEAST_BITS, int(vectors.shape[1] - 1).bit_length())
     padded = np.zeros((len(vectors), n))
     padded[:, : vectors.shape[1]] = vectors
     out = []
