@@ -71,3 +71,33 @@ def test_redirect_table_and_empty_input(spark):
     redirects = spark.createDataFrame([("http://p.net", "https://q.com/de/1"), (None, None)], "source string, target string")
     assert [r.verdict for r in urls.filter_urls(pages, redirects=redirects).collect()] == ["block"]
     assert urls.filter_urls(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+LINKS = [
+    (1, "https://b.net/a/b/c?x=1&y=2", ""),
+    (2, "https://b.net/p1", canonical("/a/./b/../b/c?x=1&amp;y=2")),
+    (3, "https://b.net/a/b/c", refresh("?x=1&y=2")),
+    (4, "https://b.net/p2", canonical("login?next=http://a.com/de/1")),
+    (5, "https://b.net/p3", canonical("mailto:a@a.com")),
+    (6, "https://b.net/q/p4", canonical("#top")),
+    (7, "https://b.net/q/", canonical("https://a.com/x/../de/1")),
+    (8, "https://b.net/p5", canonical("https://b.net/../../q/r/..")),
+    (9, "https://b.net/p6", canonical("https://b.net/a/b/c?x=1&y=2")),
+    (10, "https://b.net/login?next=http://a.com/de/1", canonical("https://a.com/de/1")),
+    (11, "https://b.net/a/b/c?x=1&y=2#part", refresh("https://a.com/de/2")),
+]
+
+
+def test_relative_targets_and_dot_segments(spark):
+    got = run(spark, LINKS)
+    assert got == oracle(LINKS)
+    assert sorted(r[0] for r in got if r[4] == "block") == [1, 2, 3, 4, 7, 8, 9, 10, 11]
+
+
+def test_of_rules_of_equal_length_allow_wins(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/xy", None, "", 0), (2, "http://c.d/1", None, "", 0)], SCHEMA)
+    rules = [("block", "a.b", "/x"), ("allow", "b", "/xy"), ("allow", "c.d", "/1"), ("block", "c.d", "/1")]
+    for r in (rules, rules[::-1]):
+        rows = {x.page_id: x.verdict for x in urls.filter_urls(pages, rules=[(v, h, p) for v, h, p in r]).collect()}
+        assert rows[2] == "allow"
+    assert [urls._ordered(r)[0][0] for r in ([("block", "a.b", "/x"), ("allow", "b", "/xyz")],)] == ["allow"]
