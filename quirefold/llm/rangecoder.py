@@ -63,17 +63,26 @@ class _Decision:
         self.odds = [_STRETCH.take(e >> 9) for e in self.found]
         self.own = [w.take(lanes) for w in self.weights]
         total = (self.own[0] * self.odds[0] + self.own[1] * self.odds[1]) >> 16
-        self.chance = _SQUASH.take(np.clip(total, -2047, 2047) + 2047)
+        self.chance = _SQUASH.take(np.maximum(np.minimum(total, 2047), -2047) + 2047)
         return self.chance
 
     def learn(self, hit: np.ndarray) -> None:
         goal = hit.astype(np.int32)
         miss = ((goal << 12) - self.chance) * 5
         for table, weights, at, e, odds, own in zip(self.tables, self.weights, self.at, self.found, self.odds, self.own):
-            weights[self.lanes] = np.clip(own + ((odds * miss + 2048) >> 12), -MOST_WEIGHT, MOST_WEIGHT)
+            weights[self.lanes] = np.maximum(np.minimum(own + ((odds * miss + 2048) >> 12), MOST_WEIGHT), -MOST_WEIGHT)
             met, p = e & 31, e >> 5
             p = p + (((goal << 16) - p) * (_STEP.take(met) >> 2) >> 14)
-            table[at] = (np.clip(p, 256, 65280) << 5) | np.minimum(met + 1, MOST_MET)
+            table[at] = (np.maximum(np.minimum(p, 65280), 256) << 5) | np.minimum(met + 1, MOST_MET)
+
+
+#: A group's counts as one item.
+_ROW = np.dtype((np.void, 2 * SIDE))
+
+
+def _last_below(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Of each row of ascending counts, the first of which is 0, the last place that is not above the value."""
+    return (rows.view(np.int16).reshape(-1, SIDE) <= value[:, None]).view(np.uint8).sum(axis=1, dtype=np.uint8).astype(np.int64) - 1
 
 
 class _Model:
@@ -89,6 +98,7 @@ class _Model:
         # Order 0: of each slot its count and those before it in its group, of each group the counts before it.
         self.counts, self.before, self.before_groups = np.zeros(n << 10, np.int16), np.zeros((n << 5, SIDE), np.int16), np.zeros((n, SIDE), np.int16)
         self.flat_before = self.before.reshape(-1)
+        self.rows_before, self.rows_groups = self.before.view(_ROW).reshape(-1), self.before_groups.view(_ROW).reshape(-1)
         self.total, self.slots = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.n, self.bits = n, bits
         self.highs = np.zeros((n, HIGH), np.int32)
@@ -140,15 +150,16 @@ class _Model:
     def slot_at(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The slot whose interval holds a value below the lane's total."""
         value = value.astype(np.int16)
-        group = SIDE - 1 - (self.before_groups[lanes] <= value[:, None])[:, ::-1].argmax(axis=1)
+        group = _last_below(self.rows_groups.take(lanes), value)
         value = value - self.before_groups[lanes, group]
-        return (group << 5) + SIDE - 1 - (self.before[(lanes << 5) + group] <= value[:, None])[:, ::-1].argmax(axis=1)
+        return (group << 5) + _last_below(self.rows_before.take((lanes << 5) + group), value)
 
     def count(self, lanes: np.ndarray, slot: np.ndarray) -> None:
         group, row = slot >> 5, (lanes << 5) + (slot >> 5)
         self.counts[(lanes << 10) + slot] += 1
-        self.before[row] = self.before[row] + _AFTER[slot & 31]
-        self.before_groups[lanes] = self.before_groups[lanes] + _AFTER[group]
+        # Rows of 32 counts of 16 bits are moved as whole items of 64 bytes.
+        self.rows_before[row] = (self.rows_before.take(row).view(np.int16).reshape(-1, SIDE) + _AFTER.take(slot & 31, axis=0)).view(_ROW).reshape(-1)
+        self.rows_groups[lanes] = (self.rows_groups.take(lanes).view(np.int16).reshape(-1, SIDE) + _AFTER.take(group, axis=0)).view(_ROW).reshape(-1)
         self.total[lanes] += 1
 
     def update(self, slot: np.ndarray, new: np.ndarray) -> None:
