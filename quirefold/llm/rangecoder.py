@@ -1,23 +1,26 @@
 """Token ids as compressed segments: an adaptive context-mixing range coder over independent blocks.
 
-A segment holds whole documents: a header with their ids and lengths, then the ids of all of them in
-blocks of ``BLOCK`` ids.  Blocks are coded independently, each with a model of its own that starts
-empty, and have a CRC-32 each; so all blocks of a segment run in lockstep as lanes of numpy arrays.
-
-The model of a block predicts whole ids, which it knows by slots: their numbers in order of first appearance.
-Order 2 and order 1 name the slot that followed the same two or one slots before, with a confidence.  Binary
-decisions say whether order 2 is right, else whether order 1 is, else whether the id is new to the block; each
-mixes two adaptive estimates from different contexts in the logistic domain, with weights that every block learns
-by gradient steps.  A known id that no order named is coded by order 0: the adaptive frequency of every slot so far.
-A new id is coded by the adaptive frequencies of its high part, brought up to date at fixed, doubling intervals,
-and its low bits evenly.  A 64-bit range coder turns all of this into 32-bit digits; carries are resolved at the
-end of a block.
+A segment holds whole documents: a header with their ids and lengths, the ids that occur with their frequencies,
+then the ids of all documents in blocks of ``BLOCK``.  Blocks are coded independently, each with a model of its own
+that starts empty, and have a CRC-32 each; so all blocks of a segment run in lockstep as lanes of numpy arrays.
+
+The model predicts whole ids, which it knows by symbols: their places among the segment's ids.  Order 2 and order 1
+name the symbol that followed the same two or one symbols before in the block, each with a confidence; order 2 goes
+before order 1.  A binary decision says whether the name is right.  It mixes two adaptive estimates, one by the
+confidences and one by the place in the block and the decisions before, in the logistic domain, with weights that every
+block learns by gradient steps.  Where the name is wrong, order 0 codes the symbol by its frequency in the segment.
+A 64-bit range coder turns all of this into 32-bit digits; carries are resolved at the end of a block.
+
+All lanes take every step, with a part for a right and one for a wrong name, as numpy picks lanes out at a higher cost
+than it computes both; what the two orders and the two estimates have in common is one array of two rows.
 
 All arithmetic is in integers, so that files can be read on any machine.  Ids are below ``MOST_ID``.
 
-Layout, little-endian: magic, version, block size, low bits of new ids, numbers of documents, ids and blocks (uint32
-each but uint64 for the ids); document ids (int64) and whether they are null (uint8); document lengths (int64);
-for each block its bytes (uint32) and the CRC-32 of its ids and bytes (uint32); the blocks.
+Layout, little-endian: magic, version, block size, bits of the frequencies' sum, numbers of documents, ids, blocks and
+symbols, bytes of the symbols (uint32 each but uint64 for the ids), CRC-32 of all that stands before the blocks
+without itself (uint32); document ids (int64) and whether they are null (uint8); document lengths (int64); for each
+block its bytes (uint32) and the CRC-32 of its ids and bytes (uint32); the symbols' ids and frequencies (uint32 by
+planes of bytes, deflated); the blocks.
 """
 
 from __future__ import annotations
@@ -28,152 +31,126 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION, BLOCK = 0x51464C44, 2, 1024
-_HEAD = struct.Struct("<IIIIIQI")
-SIDE = 32  # slots of a group, and groups: their square is a block's most slots
-HIGH, TOTAL = 256, 10  # symbols of a new id's high part and bits of their frequencies' sum
+MAGIC, VERSION, BLOCK = 0x51464C44, 3, 1024
+_HEAD, _CRC = struct.Struct("<IIIIIQIII"), struct.Struct("<I")
 MOST_ID = 1 << 28
-REFRESH = frozenset((32, 96, 224, 480, 800))
+DENSE = 1 << 22  # ids below are numbered by a table, others by sorting
+LEAST_BITS, SPARE_BITS, TABLE_BITS = 16, 2, 24  # of the frequencies' sum: at least, above the symbols' own, at most for a table of all parts
 
 
 class CorruptBlock(ValueError):
     """A block whose ids do not have the CRC-32 written with it, or a segment cut short."""
 
 
-#: Logistic tables: probabilities of 12 bits, and 256 times their log odds.
-_STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
+class Frequencies:
+    """Order 0: the parts of ``1 << bits`` that each symbol has, 1 at least."""
+
+    def __init__(self, parts: np.ndarray, bits: int):
+        self.bits, self.parts = np.uint64(bits), parts.astype(np.uint64)
+        self.before = np.cumsum(self.parts, dtype=np.uint64) - self.parts
+        self.most = 4096 - max(64, 1 << max(0, bits - 19))  # chances above would leave too little to order 0
+        self.table = None  # made when a decoder asks for it
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Frequencies:
+        bits = max(LEAST_BITS, len(counts).bit_length() + 1, min(TABLE_BITS, len(counts).bit_length() + SPARE_BITS))
+        parts = 1 + counts * ((1 << bits) - len(counts)) // counts.sum()
+        parts[parts.argmax()] += (1 << bits) - parts.sum()
+        return cls(parts, bits)
+
+    def symbol_at(self, part: np.ndarray) -> np.ndarray:
+        """The symbols that have these parts; a part beyond all is the last symbol's."""
+        if self.bits > TABLE_BITS:
+            return np.searchsorted(self.before, part, side="right") - 1
+        if self.table is None:
+            self.table = np.repeat(np.arange(len(self.parts), dtype=np.int32), self.parts.astype(np.int64))
+        return self.table.take(np.minimum(part, np.uint64(len(self.table) - 1)).view(np.int64))
+
+
+#: Without frequencies: ids below 1 << LEAST_BITS are their own symbols, all alike.
+_ALIKE = Frequencies(np.ones(1 << LEAST_BITS, np.int64), LEAST_BITS)
+
+
+#: Probabilities of 12 bits by 256 times their log odds.
 _SQUASH = np.array([max(1, min(4095, int(4096 / (1 + math.exp(-x / 256)) + 0.5))) for x in range(-2047, 2048)], np.int32)
-#: Steps of an estimate by how often it was met, of 16 bits.
-_STEP = np.array([65536 * 2 // (2 * n + 3) for n in range(32)], np.int32)
-MOST_MET, WEIGHT, MOST_WEIGHT = 30, 26_000, 3 << 16
-
-
-class _Decision:
-    """A binary decision of n lanes: two estimates, each by a context of its own, mixed with learned weights."""
-
-    def __init__(self, n: int, *contexts: int):
-        self.sizes = contexts
-        self.tables = [np.full(n * size, 1 << 20, np.int32) for size in contexts]  # 16 bits of probability, 5 of how often it was met
-        self.weights = [np.full(n, WEIGHT, np.int32) for _ in contexts]
-
-    def predict(self, lanes: np.ndarray, *contexts: np.ndarray) -> np.ndarray:
-        self.lanes = lanes
-        self.at = [lanes * size + c for size, c in zip(self.sizes, contexts)]
-        self.found = [t.take(a) for t, a in zip(self.tables, self.at)]
-        self.odds = [_STRETCH.take(e >> 9) for e in self.found]
-        self.own = [w.take(lanes) for w in self.weights]
-        total = (self.own[0] * self.odds[0] + self.own[1] * self.odds[1]) >> 16
-        self.chance = _SQUASH.take(np.maximum(np.minimum(total, 2047), -2047) + 2047)
-        return self.chance
-
-    def learn(self, hit: np.ndarray) -> None:
-        goal = hit.astype(np.int32)
-        miss = ((goal << 12) - self.chance) * 5
-        for table, weights, at, e, odds, own in zip(self.tables, self.weights, self.at, self.found, self.odds, self.own):
-            weights[self.lanes] = np.maximum(np.minimum(own + ((odds * miss + 2048) >> 12), MOST_WEIGHT), -MOST_WEIGHT)
-            met, p = e & 31, e >> 5
-            p = p + (((goal << 16) - p) * (_STEP.take(met) >> 2) >> 14)
-            table[at] = (np.maximum(np.minimum(p, 65280), 256) << 5) | np.minimum(met + 1, MOST_MET)
+#: An estimate's state is how often the name was wrong and right, up to 31 each; its log odds.
+_ODDS = np.array([max(-2047, min(2047, round(256 * math.log((yes + 0.4) / (no + 0.4))))) for no in range(32) for yes in range(32)], np.int32)
+
+
+def _next_states() -> np.ndarray:
+    """By outcome and state the state after: a full count stays and the other one shrinks."""
+    no, yes = np.divmod(np.arange(1024), 32)
+    wrong = np.where(no < 31, (no + 1) << 5 | yes, no << 5 | (yes - (yes + 16) // 32))
+    right = np.where(yes < 31, no << 5 | yes + 1, (no - (no + 16) // 32) << 5 | yes)
+    return np.concatenate([wrong, right]).astype(np.int16)
+
 
+_NEXT = _next_states()
+WEIGHT, MOST_WEIGHT, RATE = 26_000, 3 << 16, 5
+_K1, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
-#: A group's counts as one item.
-_ROW = np.dtype((np.void, 2 * SIDE))
 
+#: States to start with by the higher confidence of the two orders.
+_START = (12 << 5, 3 << 5 | 1, 2 << 5 | 2, 1 << 5 | 3)
 
-def _last_below(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Of each row of ascending counts, the first of which is 0, the last place that is not above the value."""
-    return (rows.view(np.int16).reshape(-1, SIDE) <= value[:, None]).view(np.uint8).sum(axis=1, dtype=np.uint8).astype(np.int64) - 1
+
+def _first_states() -> np.ndarray:
+    """(2, 32): the states that contexts start with, by confidences of order 2 and order 1 and whether they agree, and by time and last decisions."""
+    own = np.zeros((2, 32), np.int16)
+    for second in range(4):
+        for first in range(4):
+            for agree in range(2):
+                own[0, second << 3 | first << 1 | agree] = _START[max(second, first)]
+    own[1] = _START[1]
+    return own
 
 
 class _Model:
     """The models of n blocks in lockstep."""
 
-    def __init__(self, n: int, bits: int):
-        self.lane = np.arange(n, dtype=np.int64)
-        self.base = self.lane << 10
-        self.table1, self.table2 = np.zeros(n << 10, np.int16), np.zeros(n << 10, np.int16)
-        self.prev1, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.second, self.first, self.fresh = _Decision(n, 16, 32), _Decision(n, 16, 32), _Decision(n, 32, 8)
-        self.was_new = np.zeros(n, np.int64)
-        # Order 0: of each slot its count and those before it in its group, of each group the counts before it.
-        self.counts, self.before, self.before_groups = np.zeros(n << 10, np.int16), np.zeros((n << 5, SIDE), np.int16), np.zeros((n, SIDE), np.int16)
-        self.flat_before = self.before.reshape(-1)
-        self.rows_before, self.rows_groups = self.before.view(_ROW).reshape(-1), self.before_groups.view(_ROW).reshape(-1)
-        self.total, self.slots = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.n, self.bits = n, bits
-        self.highs = np.zeros((n, HIGH), np.int32)
-        self.flat_highs, self.base_high = self.highs.reshape(-1), self.lane * HIGH
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Frequencies of new ids' high parts from the counts so far: each at least 1, 1024 in all."""
-        seen = self.highs.sum(axis=1, keepdims=True)
-        spare = (1 << TOTAL) - HIGH
-        freq = 1 + np.where(seen > 0, self.highs * spare // np.maximum(seen, 1), spare // HIGH)
-        freq[np.arange(self.n), self.highs.argmax(axis=1)] += (1 << TOTAL) - freq.sum(axis=1)
-        self.freq = freq.reshape(-1).astype(np.uint64)
-        self.cum = (np.cumsum(freq, axis=1) - freq).reshape(-1).astype(np.uint64)
-        self.symbol = None  # made when a decoder asks for it
-
-    def symbols(self) -> np.ndarray:
-        if self.symbol is None:
-            self.symbol = np.repeat(np.tile(np.arange(HIGH, dtype=np.uint8), self.n), self.freq.astype(np.int64))
-        return self.symbol
-
-    def look_up(self, t: int) -> None:
-        self.i1 = self.base + self.prev1
-        self.i2 = self.base + ((self.prev1 * 40503 + self.prev2 * 60493) >> 4 & 1023)
-        self.e1, self.e2 = self.table1.take(self.i1), self.table2.take(self.i2)
-        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        self.s1, self.s2 = self.e1 >> 2, self.e2 >> 2
-        self.both, self.stage, self.t = self.c2 << 2 | self.c1, min(t >> 7, 7), t
-        self.open = np.ones(self.n, bool)
-
-    def by_second(self) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.c2)
-        return at, self.second.predict(at, self.both[at], (self.c2[at] << 3) + self.stage)
-
-    def by_first(self) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.open & (self.c1 > 0) & ((self.c2 == 0) | (self.s1 != self.s2)))
-        return at, self.first.predict(at, self.both[at], (self.c1[at] << 3) + self.stage)
-
-    def by_zero(self) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.open)
-        return at, self.fresh.predict(at, np.full(len(at), min(self.t >> 5, 31)), (self.was_new[at] << 2) + self.c1[at])
-
-    def interval(self, lanes: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of known slots: the counts before it, its own, and all."""
-        at = (lanes << 10) + slot
-        low = self.before_groups.take((lanes << 5) + (slot >> 5)) + self.flat_before.take(at)
-        return low.astype(np.uint64), self.counts.take(at).astype(np.uint64), self.total[lanes].astype(np.uint64)
-
-    def slot_at(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The slot whose interval holds a value below the lane's total."""
-        value = value.astype(np.int16)
-        group = _last_below(self.rows_groups.take(lanes), value)
-        value = value - self.before_groups[lanes, group]
-        return (group << 5) + _last_below(self.rows_before.take((lanes << 5) + group), value)
-
-    def count(self, lanes: np.ndarray, slot: np.ndarray) -> None:
-        group, row = slot >> 5, (lanes << 5) + (slot >> 5)
-        self.counts[(lanes << 10) + slot] += 1
-        # Rows of 32 counts of 16 bits are moved as whole items of 64 bytes.
-        self.rows_before[row] = (self.rows_before.take(row).view(np.int16).reshape(-1, SIDE) + _AFTER.take(slot & 31, axis=0)).view(_ROW).reshape(-1)
-        self.rows_groups[lanes] = (self.rows_groups.take(lanes).view(np.int16).reshape(-1, SIDE) + _AFTER.take(group, axis=0)).view(_ROW).reshape(-1)
-        self.total[lanes] += 1
-
-    def update(self, slot: np.ndarray, new: np.ndarray) -> None:
-        """Both orders and the history; ``new``: lanes whose id is new."""
-        named = (slot << 2).astype(np.int16)
-        for table, at, e, c, s in ((self.table1, self.i1, self.e1, self.c1, self.s1), (self.table2, self.i2, self.e2, self.c2, self.s2)):
-            table[at] = np.where((s == slot) & (c > 0), e + (c < 3), np.where(c > 1, e - 1, named + 1))
-        self.prev2, self.prev1 = self.prev1, slot
-        self.was_new[:] = 0
-        self.was_new[new] = 1
-
-
-#: For each place of a group, ones at the places after it.
-_AFTER = np.triu(np.ones((SIDE, SIDE), np.int16), 1)
+    def __init__(self, n: int, most: int):
+        self.squash = np.minimum(_SQUASH, most)
+        lane = np.arange(n, dtype=np.int64)
+        self.base = np.stack([lane << 10, (lane + n) << 10])
+        self.table = np.zeros(n << 11, np.int32)  # a symbol and 2 bits of confidence; 0 if none
+        self.hash = np.zeros((2, n), np.uint32)
+        self.own = np.stack([lane << 5, (lane + n) << 5])
+        self.states = np.repeat(_first_states(), n, axis=0).reshape(-1)
+        self.weights = np.full((2, n), WEIGHT, np.int32)
+        self.lately = np.zeros(n, np.int64)
+        self.context = np.empty((2, n), np.int64)
+
+    def predict(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each lane the symbol named and the chance of 4096 that it is right."""
+        self.at = self.base + (self.hash >> 22)
+        self.entry = self.table.take(self.at)
+        self.trust, self.named = self.entry & 3, self.entry >> 2
+        one, two = self.named
+        best = np.where(self.entry[1] > 0, two, one)
+        np.add((self.trust[1] << 3) + (self.trust[0] << 1), one == two, out=self.context[0])
+        np.add(self.lately, min(t >> 7, 7) << 2, out=self.context[1])
+        self.context += self.own
+        self.state = self.states.take(self.context)
+        self.odds = _ODDS.take(self.state)
+        mixed = self.weights * self.odds
+        total = (mixed[0] + mixed[1]) >> 16
+        self.chance = self.squash.take(np.minimum(np.maximum(total, -2047), 2047) + 2047)
+        return best, self.chance
+
+    def learn(self, symbol: np.ndarray, hit: np.ndarray) -> None:
+        goal = hit.astype(np.int32)
+        miss = ((goal << 12) - self.chance) * RATE
+        self.weights += (self.odds * miss + 2048) >> 12
+        np.minimum(np.maximum(self.weights, -MOST_WEIGHT, out=self.weights), MOST_WEIGHT, out=self.weights)
+        self.states[self.context] = _NEXT.take((goal << 10) + self.state)
+        self.lately = (self.lately << 1 & 2) + goal
+        other = np.where(self.trust > 1, self.entry - 1, (symbol << 2) + 1)
+        self.table[self.at] = np.where(self.named == symbol, self.entry + (self.trust < 3), other)
+        latest = (symbol.astype(np.uint32) + np.uint32(1)) * _K1
+        self.hash[1] = latest + self.hash[0] * _K2
+        self.hash[0] = latest
+
+
 _HALF, _LOW_HALF, _LEAST_RANGE = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
 _BIT = np.uint64(12)  # bits of a decision's interval
 _ZERO = np.uint64(0)
@@ -184,84 +161,67 @@ class _Writer:
 
     def __init__(self, n: int, most: int):
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.digits, self.used = np.zeros((n, most), np.uint64), np.zeros(n, np.int64)
-        self.flat, self.width = self.digits.reshape(-1), most
-
-    def _narrow(self, lanes: np.ndarray | None, before: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
-        carried = np.flatnonzero(low < before)
+        self.digits = np.zeros((n, most), np.uint64)
+        self.flat, self.first = self.digits.reshape(-1), np.arange(n, dtype=np.int64) * most
+        self.place = self.first.copy()
+
+    def put(self, chance: np.ndarray, hit: np.ndarray, before: np.ndarray, parts: np.ndarray, bits: np.uint64) -> None:
+        start = (self.range >> _BIT) * chance
+        part = (self.range - start) >> bits
+        low = self.low + np.where(hit, _ZERO, start + part * before)
+        span = np.where(hit, start, part * parts)
+        carried = np.flatnonzero(low < self.low)
         if len(carried):
-            own = carried if lanes is None else lanes[carried]
-            self.flat[own * self.width + self.used[own] - 1] += np.uint64(1)
+            self.flat[self.place[carried] - 1] += np.uint64(1)
         small = np.flatnonzero(span < _LEAST_RANGE)
         if len(small):
-            own = small if lanes is None else lanes[small]
-            self.flat[own * self.width + self.used[own]] = low[small] >> _HALF
-            self.used[own] += 1
-            low[small] <<= _HALF
+            at, digit = self.place[small], low[small]
+            self.flat[at] = digit >> _HALF
+            self.place[small] = at + 1
+            low[small] = digit << _HALF
             span[small] <<= _HALF
-        if lanes is None:
-            self.low, self.range = low, span
-        else:
-            self.low[lanes], self.range[lanes] = low, span
-
-    def decide(self, lanes: np.ndarray | None, chance: np.ndarray, hit: np.ndarray) -> None:
-        low, span = (self.low, self.range) if lanes is None else (self.low[lanes], self.range[lanes])
-        start = (span >> _BIT) * chance
-        self._narrow(lanes, low, low + np.where(hit, _ZERO, start), np.where(hit, start, span - start))
-
-    def place(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        before, part = self.low[lanes], self.range[lanes] // total
-        self._narrow(lanes, before, before + part * low, part * size)
+        self.low, self.range = low, span
 
     def end(self) -> list[bytes]:
-        lane = np.arange(len(self.low))
         for digit in (self.low >> _HALF, self.low & _LOW_HALF):
-            self.flat[lane * self.width + self.used] = digit
-            self.used += 1
-        for k in range(int(self.used.max()) - 1, 0, -1):
+            self.flat[self.place] = digit
+            self.place += 1
+        used = self.place - self.first
+        for k in range(int(used.max()) - 1, 0, -1):
             self.digits[:, k - 1] += self.digits[:, k] >> _HALF
         short = (self.digits & _LOW_HALF).astype("<u4")
-        return [short[i, : self.used[i]].tobytes() for i in range(len(lane))]
+        return [short[i, :k].tobytes() for i, k in enumerate(used.tolist())]
 
 
 class _Reader:
     def __init__(self, blocks: list[bytes]):
-        self.width = max(map(len, blocks)) // 4 + 2
-        digits = np.zeros((len(blocks), self.width), np.uint64)
+        width = max(map(len, blocks)) // 4 + 2
+        digits = np.zeros((len(blocks), width), np.uint64)
         for i, b in enumerate(blocks):
             digits[i, : len(b) // 4] = np.frombuffer(b, "<u4", len(b) // 4)
         self.flat = digits.reshape(-1)
         self.code = digits[:, 0] << _HALF | digits[:, 1]
         self.range = np.full(len(blocks), 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.used = np.full(len(blocks), 2, np.int64)
-
-    def _narrow(self, lanes: np.ndarray | None, code: np.ndarray, span: np.ndarray) -> None:
+        self.place = np.arange(len(blocks), dtype=np.int64) * width + 2
+        self.last = self.place + (width - 3)
+
+    def get(self, chance: np.ndarray, order0: Frequencies) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the name is right, and the symbol where it is not."""
+        start = (self.range >> _BIT) * chance
+        hit = self.code < start
+        part = (self.range - start) >> order0.bits
+        code = self.code - start
+        symbol = order0.symbol_at(code // part)
+        code = np.where(hit, self.code, code - part * order0.before.take(symbol))
+        span = np.where(hit, start, part * order0.parts.take(symbol))
         small = np.flatnonzero(span < _LEAST_RANGE)
         if len(small):
-            own = small if lanes is None else lanes[small]
-            at = np.minimum(self.used[own], self.width - 1)
-            code[small] = code[small] << _HALF | self.flat[own * self.width + at]
-            self.used[own] += 1
+            at = self.place[small]
+            code[small] = code[small] << _HALF | self.flat[np.minimum(at, self.last[small])]
+            self.place[small] = at + 1
             span[small] <<= _HALF
-        if lanes is None:
-            self.code, self.range = code, span
-        else:
-            self.code[lanes], self.range[lanes] = code, span
-
-    def decide(self, lanes: np.ndarray | None, chance: np.ndarray) -> np.ndarray:
-        code, span = (self.code, self.range) if lanes is None else (self.code[lanes], self.range[lanes])
-        start = (span >> _BIT) * chance
-        hit = code < start
-        self._narrow(lanes, code - np.where(hit, _ZERO, start), np.where(hit, start, span - start))
-        return hit
-
-    def value(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Where the code stands in ``total`` parts of the range; ``placed`` must follow."""
-        self.part = self.range[lanes] // total
-        return np.minimum(self.code[lanes] // np.maximum(self.part, np.uint64(1)), total - np.uint64(1))
-
-    def placed(self, lanes: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
-        self._narrow(lanes, self.code[lanes] - self.part * low, self.part * size)
+        self.code, self.range = code, span
+        return hit, symbol
 
 
 def slots_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,88 +238,30 @@ def slots_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(np.cumsum(new, axis=1) - 1, first, axis=1), new
 
 
-def encode_blocks(ids: np.ndarray, bits: int = 8) -> list[bytes]:
-    """(blocks, length) ids -> the bytes of each block; ``bits``: the low ones of a new id."""
-    n, length = ids.shape
-    slots, new = (np.ascontiguousarray(x.T) for x in slots_of(ids))
-    columns = np.ascontiguousarray(ids.T.astype(np.int64))
-    model, out = _Model(n, bits), _Writer(n, 2 * length + 8)
-    whole = np.uint64(1 << (TOTAL + bits))
-    for t in range(length):
-        if t in REFRESH:
-            model.refresh()
-        slot = slots[t]
-        model.look_up(t)
-        for predict, decision, named in ((model.by_second, model.second, model.s2), (model.by_first, model.first, model.s1)):
-            at, chance = predict()
-            if len(at):
-                hit = named[at] == slot[at]
-                out.decide(at, chance.astype(np.uint64), hit)
-                decision.learn(hit)
-                model.open[at[hit]] = False
-        at, chance = model.by_zero()
-        fresh = at[:0]
-        if len(at):
-            is_new = new[t][at]
-            out.decide(at, chance.astype(np.uint64), is_new)
-            model.fresh.learn(is_new)
-            fresh, known = at[is_new], at[~is_new]
-            if len(known):
-                out.place(known, *model.interval(known, slot[known]))
-            if len(fresh):
-                high, low = columns[t][fresh] >> bits, columns[t][fresh] & ((1 << bits) - 1)
-                i = model.base_high[fresh] + high
-                out.place(fresh, (low.astype(np.uint64) << np.uint64(TOTAL)) + model.cum[i], model.freq[i], whole)
-                model.flat_highs[i] += 1
-            model.count(at, slot[at])
-        model.update(slot, fresh)
+def encode_blocks(symbols: np.ndarray, order0: Frequencies = _ALIKE) -> list[bytes]:
+    """(blocks, length) symbols -> the bytes of each block."""
+    n, length = symbols.shape
+    if symbols.size and not 0 <= int(symbols.min()) <= int(symbols.max()) < len(order0.parts):
+        raise ValueError(f"symbols must be from 0 to {len(order0.parts) - 1}")
+    columns = np.ascontiguousarray(symbols.T.astype(np.int32))
+    model, out = _Model(n, order0.most), _Writer(n, length + 4)
+    for t, symbol in enumerate(columns):
+        named, chance = model.predict(t)
+        hit = named == symbol
+        out.put(chance.astype(np.uint64), hit, order0.before.take(symbol), order0.parts.take(symbol), order0.bits)
+        model.learn(symbol, hit)
     return out.end()
 
 
-def decode_blocks(blocks: list[bytes], length: int, bits: int = 8) -> np.ndarray:
-    """The bytes of blocks of ``length`` ids each -> (blocks, length) ids."""
+def decode_blocks(blocks: list[bytes], length: int, order0: Frequencies = _ALIKE) -> np.ndarray:
+    """The bytes of blocks of ``length`` symbols each -> (blocks, length) symbols."""
     n = len(blocks)
-    model, source = _Model(n, bits), _Reader(blocks)
-    columns, known_ids = np.zeros((length, n), np.int64), np.zeros((n, SIDE * SIDE), np.int64)
-    whole, mask = np.uint64(1 << (TOTAL + bits)), (1 << TOTAL) - 1
+    model, source, columns = _Model(n, order0.most), _Reader(blocks), np.empty((length, n), np.int32)
     for t in range(length):
-        if t in REFRESH:
-            model.refresh()
-        slot = np.zeros(n, np.int64)
-        model.look_up(t)
-        for predict, decision, named in ((model.by_second, model.second, model.s2), (model.by_first, model.first, model.s1)):
-            at, chance = predict()
-            if len(at):
-                hit = source.decide(at, chance.astype(np.uint64))
-                decision.learn(hit)
-                right = at[hit]
-                slot[right] = named[right]
-                model.open[right] = False
-        at, chance = model.by_zero()
-        fresh = at[:0]
-        if len(at):
-            is_new = source.decide(at, chance.astype(np.uint64))
-            model.fresh.learn(is_new)
-            fresh, known = at[is_new], at[~is_new]
-            if len(known):
-                if not model.total[known].all():
-                    raise CorruptBlock("a block repeats an id before it has one")
-                found = np.minimum(model.slot_at(known, source.value(known, model.total[known].astype(np.uint64)).astype(np.int64)), model.slots[known] - 1)
-                low, size, _ = model.interval(known, found)
-                source.placed(known, low, size)
-                slot[known] = found
-            if len(fresh):
-                value = source.value(fresh, whole).astype(np.int64)
-                low, high = value >> TOTAL, model.symbols()[(fresh << TOTAL) + (value & mask)].astype(np.int64)
-                i = model.base_high[fresh] + high
-                source.placed(fresh, (low << TOTAL).astype(np.uint64) + model.cum[i], model.freq[i])
-                model.flat_highs[i] += 1
-                slot[fresh] = model.slots[fresh]
-                known_ids[fresh, slot[fresh]] = high << bits | low
-                model.slots[fresh] += 1
-            model.count(at, slot[at])
-        columns[t] = known_ids[model.lane, slot]
-        model.update(slot, fresh)
+        named, chance = model.predict(t)
+        hit, symbol = source.get(chance.astype(np.uint64), order0)
+        columns[t] = np.where(hit, named, symbol)
+        model.learn(columns[t], hit)
     return columns.T
 
 
@@ -367,42 +269,73 @@ def _check(ids: np.ndarray, block: bytes) -> int:
     return zlib.crc32(block, zlib.crc32(ids.astype("<u4").tobytes()))
 
 
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids -> the ids that occur, and of each its place there."""
+    if int(ids.max()) < DENSE:
+        found = np.flatnonzero(np.bincount(ids))
+        place = np.zeros(int(found[-1]) + 1, np.int32)
+        place[found] = np.arange(len(found))
+        return found, place.take(ids)
+    slots, new = slots_of(ids[None])
+    return ids[new[0]], slots[0]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One segment; ``ids`` are those of all documents in order, each below ``MOST_ID``."""
     if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= MOST_ID):
         raise ValueError(f"ids must be from 0 to {MOST_ID - 1}")
     n = -(-len(ids) // BLOCK)
-    bits = max(8, int(ids.max()).bit_length() - 8) if len(ids) else 8
-    padded = np.zeros((n, BLOCK), np.int32)
-    padded.reshape(-1)[: len(ids)] = ids
-    blocks = encode_blocks(padded, bits) if n else []
-    crcs = [_check(row, b) for row, b in zip(padded, blocks)]
-    head = _HEAD.pack(MAGIC, VERSION, BLOCK, bits, len(doc_ids), len(ids), n)
-    return b"".join([
-        head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), np.asarray(lengths, "<i8").tobytes(),
-        np.array([(len(b), c) for b, c in zip(blocks, crcs)], "<u4").tobytes(), *blocks,
+    table, blocks, crcs, found, bits = b"", [], [], [], LEAST_BITS
+    if n:
+        padded = np.zeros((n, BLOCK), np.int32)
+        padded.reshape(-1)[: len(ids)] = ids
+        found, symbols = _numbered(padded.reshape(-1))
+        order0 = Frequencies.of(np.bincount(symbols))
+        bits = int(order0.bits)
+        table = zlib.compress(_planes(found) + _planes(order0.parts), 9)
+        blocks = encode_blocks(symbols.reshape(n, BLOCK), order0)
+        crcs = [_check(row, b) for row, b in zip(padded, blocks)]
+    head = _HEAD.pack(MAGIC, VERSION, BLOCK, bits, len(doc_ids), len(ids), n, len(found), len(table))
+    rest = b"".join([
+        np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), np.asarray(lengths, "<i8").tobytes(),
+        np.array([(len(b), c) for b, c in zip(blocks, crcs)], "<u4").tobytes(), table,
     ])
+    return b"".join([head, _CRC.pack(zlib.crc32(rest, zlib.crc32(head))), rest, *blocks])
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """A segment -> document ids, lengths and all ids; raises ``CorruptBlock`` where a check fails."""
     try:
-        magic, version, block, low_bits, docs, total, n = _HEAD.unpack_from(data)
-        if (magic, version, block) != (MAGIC, VERSION, BLOCK) or not 8 <= low_bits <= 20:
+        magic, version, block, bits, docs, total, n, most, deflated = _HEAD.unpack_from(data)
+        at = _HEAD.size + _CRC.size
+        end = at + 17 * docs + 8 * n + deflated
+        if (magic, version, block) != (MAGIC, VERSION, BLOCK):
             raise CorruptBlock("not a segment of this version")
-        at = _HEAD.size
+        if end > len(data) or zlib.crc32(data[at:end], zlib.crc32(data[: _HEAD.size])) != _CRC.unpack_from(data, _HEAD.size)[0]:
+            raise CorruptBlock("the header fails its checksum")
         ids = np.frombuffer(data, "<i8", docs, at).tolist()
         null = np.frombuffer(data, "u1", docs, at + 8 * docs)
         lengths = np.frombuffer(data, "<i8", docs, at + 9 * docs)
-        at += 17 * docs
-        table = np.frombuffer(data, "<u4", 2 * n, at).reshape(n, 2)
-        ends = at + 8 * n + np.cumsum(table[:, 0], dtype=np.int64)
-    except (struct.error, ValueError) as e:
+        table = np.frombuffer(data, "<u4", 2 * n, at + 17 * docs).reshape(n, 2)
+        planes = zlib.decompress(data[end - deflated : end]) if n else b""
+        ends = end + np.cumsum(table[:, 0], dtype=np.int64)
+    except (struct.error, zlib.error, ValueError) as e:
         raise CorruptBlock(str(e)) from e
-    if len(data) != (int(ends[-1]) if n else at) or int(lengths.sum()) != total:
+    if len(data) != (int(ends[-1]) if n else end) or int(lengths.sum()) != total or len(planes) != 8 * most:
         raise CorruptBlock("the segment's parts do not add up")
     blocks = [data[int(e) - int(s) : int(e)] for s, e in zip(table[:, 0], ends)]
-    out = decode_blocks(blocks, block, low_bits) if n else np.zeros((0, block), np.int32)
+    out = np.zeros((0, block), np.int32)
+    if n:
+        found, parts = _from_planes(planes[: 4 * most]), _from_planes(planes[4 * most :])
+        out = found.astype(np.int32).take(np.ascontiguousarray(decode_blocks(blocks, block, Frequencies(parts, bits))))
     for k, row in enumerate(out):
         if _check(row, blocks[k]) != int(table[k, 1]):
             raise CorruptBlock(f"block {k} fails its checksum")
