@@ -16,6 +16,8 @@ PAGE = ["doc_id", "page_num"]
 EMPTY_ROW = ("", "null", "none", "nan", "-", "_")
 BLANK = ("", "null", "none")
 CORNER = ("", "null", "none", "-", "_")
+#: What JSON escapes in a string, and what stands for bytes that are no text.
+ESCAPED = '["\\\\\\x00-\\x1f\ufffd]'
 
 
 def clean_cells(cells: Column, fix_hyphens: bool = True) -> Column:
@@ -97,25 +99,31 @@ def structured(tables: DataFrame) -> DataFrame:
 
     named = named.withColumn("headers", _once(F.col("__n"), unique)).withColumn("__b", F.slice("__r", 2, F.greatest(F.size("__r") - 1, F.lit(0))))
 
-    def entries(headers: Column, row: Column, shift: int) -> Column:
+    named = named.withColumn("__u", F.size(F.array_distinct("headers")) == F.size("headers"))
+
+    def entries(table: Column, row: Column, shift: int) -> Column:
         """Header and value of the cells that say something; a repeated header keeps its first place and last value."""
-        found = F.filter(F.transform(headers, lambda h, j: F.struct(h.alias("key"), F.get(row, j + shift).alias("value"))), lambda e: e["value"].isNotNull() & ~F.lower(e["value"]).isin(*BLANK))
+        headers = table["h"]
+        says = lambda v: v.isNotNull() & ~F.lower(v).isin(*BLANK)
+        each = F.map_filter(F.map_from_arrays(headers, F.transform(headers, lambda h, j: F.get(row, j + shift))), lambda k, v: says(v))
+        found = F.filter(F.transform(headers, lambda h, j: F.struct(h.alias("key"), F.get(row, j + shift).alias("value"))), lambda e: says(e["value"]))
         last = lambda es: lambda k: F.element_at(F.filter(es, lambda e: e["key"] == k), -1)["value"]
-        return _once(found, lambda es: _once(F.array_distinct(F.transform(es, lambda e: e["key"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, last(es)))))
+        repeated = lambda es: _once(F.array_distinct(F.transform(es, lambda e: e["key"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, last(es))))
+        return F.when(table["u"], each).otherwise(_once(found, repeated))
 
     by_label = F.col("corner") & (F.size("headers") > 0)
-    body = F.struct(F.col("headers").alias("h"), F.col("__b").alias("b"))
-    standard = F.filter(_once(body, lambda s: F.transform(s["b"], lambda r: entries(s["h"], r, 0))), lambda m: F.size(m) > 0)
+    body = F.struct(F.col("headers").alias("h"), F.col("__b").alias("b"), F.col("__u").alias("u"))
+    standard = F.filter(_once(body, lambda s: F.transform(s["b"], lambda r: entries(s, r, 0))), lambda m: F.size(m) > 0)
 
     def labels(s: Column) -> Column:
         said = F.filter(s["b"], lambda r: ~F.lower(F.coalesce(F.get(r, F.lit(0)), F.lit(""))).isin(*BLANK))
-        return F.transform(said, lambda r: F.struct(F.get(r, F.lit(0)).alias("label"), entries(s["h"], r, 1).alias("cells")))
+        return F.transform(said, lambda r: F.struct(F.get(r, F.lit(0)).alias("label"), entries(s, r, 1).alias("cells")))
 
     labelled = F.filter(_once(body, labels), lambda x: F.size(x["cells"]) > 0)
     nothing = F.array().cast("array<struct<label:string,cells:map<string,string>>>")
     out = named.withColumn("standard_rows", F.when(by_label, F.array().cast("array<map<string,string>>")).otherwise(standard)).withColumn("corner_rows", F.when(by_label, labelled).otherwise(nothing))
     kind = F.when(~F.col("has_header") & F.col("headline").isNull(), "no_data").when(F.coalesce("headline", F.lit("")) != "", "headline").otherwise("standard")
-    return out.withColumns({"type": kind, "row_count": (F.size("standard_rows") + F.size("corner_rows")).cast("long")}).drop("__r", "__h", "__d", "__n", "__b")
+    return out.withColumns({"type": kind, "row_count": (F.size("standard_rows") + F.size("corner_rows")).cast("long")}).drop("__r", "__h", "__d", "__n", "__b", "__u")
 
 
 def counted_text(structured_tables: DataFrame) -> DataFrame:
@@ -140,16 +148,22 @@ def _quoted(c: Column) -> Column:
 def _indented(items: Column, depth: int, brackets: str = "[]") -> Column:
     """JSON texts one a line, two spaces for each level; nothing between the brackets if there are none."""
     pad = "\n" + "  " * (depth + 1)
-    return F.when(F.size(items) > 0, F.concat(F.lit(brackets[0] + pad), F.array_join(items, f",{pad}"), F.lit("\n" + "  " * depth + brackets[1]))).otherwise(brackets)
+    return _once(items, lambda xs: F.when(F.size(xs) > 0, F.concat(F.lit(brackets[0] + pad), F.array_join(xs, f",{pad}"), F.lit("\n" + "  " * depth + brackets[1]))).otherwise(brackets))
 
 
 def _record(cells: Column, depth: int) -> Column:
-    return _indented(F.transform(F.map_entries(cells), lambda e: F.concat(_quoted(e["key"]), F.lit(": "), _quoted(e["value"]))), depth, "{}")
+    """A row as an object. One search tells whether any of its strings has something to escape (or is null, or no text); if none has, they are only joined."""
+    pad, end = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+    odd = F.rlike(F.array_join(F.concat(F.map_keys(cells), F.map_values(cells)), "", "\ufffd"), F.lit(ESCAPED))
+    members = F.zip_with(F.map_keys(cells), F.map_values(cells), lambda k, v: F.array_join(F.array(k, v), '": "'))
+    plain = F.concat(F.lit(f'{{{pad}"'), F.array_join(members, f'",{pad}"'), F.lit(f'"{end}}}'))
+    escaped = _indented(F.transform(F.map_entries(cells), lambda e: F.concat(_quoted(e["key"]), F.lit(": "), _quoted(e["value"]))), depth, "{}")
+    return F.when((F.size(cells) == 0) | odd, escaped).otherwise(plain)
 
 
 def section_text(structured_tables: DataFrame) -> DataFrame:
     """``structured`` with ``section``: the summary lines and the JSON record of each table, eight keys, indented by two; a row under a label is an object in an object."""
-    labelled = F.transform("corner_rows", lambda x: _indented(F.array(F.concat(_quoted(x["label"]), F.lit(": "), _record(x["cells"], 3))), 2, "{}"))
+    labelled = F.transform("corner_rows", lambda x: F.concat(F.lit("{\n      "), _quoted(x["label"]), F.lit(": "), _record(x["cells"], 3), F.lit("\n    }")))
     rows = F.concat(F.transform("standard_rows", lambda m: _record(m, 2)), labelled)
     fields = {
         "table_number": F.col("number").cast("string"), "page_number": F.col("page_num").cast("string"), "type": _quoted(F.col("type")), "headline": _quoted(F.col("headline")),
